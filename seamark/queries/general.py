@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seamark.functions.page_key import page_key_sql
-from seamark.operators import heavy_keys, orphans, snapshots
+from seamark.operators import heavy_keys, nested, orphans, schema_drift, snapshots
 from seamark.session import cut, table
 
 
@@ -13,6 +13,21 @@ def _pages(spark, d):
     return table(spark, d, "page_audit")
 
 
+def p1_found(spark, d):
+    return schema_drift.schema_changes(table(spark, d, "saved_crawls")).filter("NOT nested").drop("nested").distinct()
+
+
+def p1_report(spark, d):
+    changes = schema_drift.schema_changes(table(spark, d, "saved_crawls"))
+    return changes.groupBy("change_kind", "nested", "old_field", "new_field").agg(F.count(F.lit(1)).alias("files"), F.approx_count_distinct("folder").alias("folders"))
+
+
+def p1_table(spark, d):
+    crawls = table(spark, d, "saved_crawls")
+    changes = schema_drift.schema_changes(crawls)
+    return schema_drift.consistent_table(crawls, schema_drift.canonical_names(crawls, changes))
+
+
 def p2_found(spark, d):
     return heavy_keys.hot_keys(_pages(spark, d))
 
@@ -31,6 +46,18 @@ def p4_found(spark, d):
     return snapshots.snapshot_changes(table(spark, d, "page_snapshots"))
 
 
+def p5_found(spark, d):
+    return nested.page_children(table(spark, d, "page_records"))
+
+
+def p5_pages(spark, d):
+    return nested.flat_tables(cut(nested.node_table(table(spark, d, "page_records"))))["pages"]
+
+
+def p5_redirect_chain(spark, d):
+    return nested.flat_tables(cut(nested.node_table(table(spark, d, "page_records"))))["redirect_chain"]
+
+
 def p6_found(spark, d):
     found = orphans.orphan_references(_pages(spark, d)).filter("level = 0")
     return found.select("page_id", "ref_field", "target_key", "orphan_kind").distinct()
@@ -40,7 +67,7 @@ def p6_report(spark, d):
     return orphans.orphan_report(orphans.orphan_references(_pages(spark, d)))
 
 
-QUERIES = {"p2_found": p2_found, "p2_targets": p2_targets, "p2_sites": p2_sites, "p4_found": p4_found, "p6_found": p6_found, "p6_report": p6_report}
+QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p1_table": p1_table, "p5_found": p5_found, "p5_pages": p5_pages, "p5_redirect_chain": p5_redirect_chain, "p2_found": p2_found, "p2_targets": p2_targets, "p2_sites": p2_sites, "p4_found": p4_found, "p6_found": p6_found, "p6_report": p6_report}
 
 _ENTRIES = f"SELECT crawl_day, e.placement AS placement, {page_key_sql('e.target')} AS k FROM (SELECT crawl_day, unnest(internal_link_urls) AS e FROM page_audit) WHERE e IS NOT NULL"
 _KEYED = f"SELECT *, {page_key_sql('url')} AS url_key FROM page_audit"
