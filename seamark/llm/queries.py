@@ -3,10 +3,22 @@
 from __future__ import annotations
 
 from seamark.functions.page_key import page_key_sql
-from seamark.llm import merkle
+from seamark.llm import merkle, mixing, packing, residue
 from seamark.session import table
 
 
+def p3_found(spark, d):
+    pages = table(spark, d, "page_audit")
+    return residue.flagged(pages, residue.train(pages)).select("page_id").distinct()
+
+
+def p3_clean(spark, d):
+    pages = table(spark, d, "page_audit")
+    found = residue.flagged(pages, residue.train(pages)).select("page_id").distinct()
+    good = pages.filter("status_code BETWEEN 200 AND 299").select("page_id", "crawl_id", "url", "title", "word_count")
+    return good.join(found, "page_id", "left_anti")
+
+
 def p7_found(spark, d):
     return merkle.page_copies(table(spark, d, "page_audit"))
 
@@ -19,7 +31,25 @@ def p7_texts(spark, d):
     return merkle.text_classes(table(spark, d, "documents"))
 
 
-QUERIES = {"p7_found": p7_found, "p7_classes": p7_classes, "p7_texts": p7_texts}
+def p8_pack(spark, d):
+    return packing.pack(table(spark, d, "documents"), table(spark, d, "pack_limits"))
+
+
+def p8_report(spark, d):
+    limits = table(spark, d, "pack_limits")
+    return packing.fill_report(packing.pack(table(spark, d, "documents"), limits), limits)
+
+
+def p9_mix(spark, d):
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "source_targets"))
+
+
+def p9_shares(spark, d):
+    targets = table(spark, d, "source_targets")
+    return mixing.shares(mixing.mix(table(spark, d, "documents"), targets), targets)
+
+
+QUERIES = {"p3_found": p3_found, "p3_clean": p3_clean, "p7_found": p7_found, "p7_classes": p7_classes, "p7_texts": p7_texts, "p8_pack": p8_pack, "p8_report": p8_report, "p9_mix": p9_mix, "p9_shares": p9_shares}
 
 _HOST = "regexp_extract(url_key, '^[^/?]*')"
 _KEYED = f"SELECT *, {page_key_sql('canonical', _HOST)} AS canonical_key FROM (SELECT *, {page_key_sql('url')} AS url_key FROM page_audit)"
