@@ -14,36 +14,38 @@ TRACKING = r"^(utm_[^=]*|gclid|fbclid)(=|$)"
 PORTS = "80|443"
 
 
+#: Addresses of the commonest shape: their key is what remains without scheme and last slash.
+PLAIN = r"^https?://(?!www\.)[a-z0-9.\-]++(?:/[a-z0-9_.~\-]++)*+/?\z"
+
+
 def unescape(c: Column) -> Column:
     """Percent escapes as the characters they stand for; a ``%`` that begins no escape, and ``+``, stay as they are."""
     safe = F.regexp_replace(F.regexp_replace(c, r"%(?![0-9A-Fa-f]{2})", "%25"), r"\+", "%2B")
-    return F.when(c.contains("%"), F.coalesce(F.try_url_decode(safe), c)).otherwise(c)
-
-
-def _outer(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.coalesce(F.try_url_decode(safe), c)
 
 
 def page_key(address: Column, own_host: Column | None = None) -> Column:
     """Page key of ``address``; with ``own_host``, an address that begins with one slash is read on that host.
 
-    Null, empty and blank addresses have the empty key.
+    Null, empty and blank addresses have the empty key. Every branch holds each step once, so no step
+    is computed twice for a row.
     """
-    s = _outer(F.regexp_replace(F.coalesce(address, F.lit("")), r"(?s)#.*", ""))
+    raw = F.coalesce(address, F.lit(""))
+    s = F.regexp_replace(F.regexp_replace(raw, r"(?s)#.*", ""), r"(?U)^\s+|\s+$", "")
     if own_host is not None:
-        s = F.when(s.rlike(r"^/(?!/)"), F.concat(F.coalesce(own_host, F.lit("")), s)).otherwise(s)
+        literal = F.regexp_replace(F.coalesce(own_host, F.lit("")), r"[$\\]", r"\\$0")
+        s = F.regexp_replace(s, F.lit(r"^/(?!/)"), F.concat(literal, F.lit("/")))
     s = F.regexp_replace(s, r"(?i)^(?:(?:[a-z][a-z0-9+.\-]*:)?//)?(?:www\.)?", "")
     s = F.regexp_replace(s, rf"^([^/?:]*):(?:{PORTS})(?=[/?]|$)", "$1")
-    base = F.lower(unescape(F.regexp_extract(s, r"(?s)^[^?]*", 0)))
-    base = F.regexp_replace(base, "/+", "/")
-    base = F.regexp_replace(base, r"(?U)[\s/]+$", "")
+    base = F.regexp_extract(s, r"(?s)^[^?]*", 0)
+    base = F.lower(F.when(raw.contains("%"), unescape(base)).otherwise(base))
+    base = F.regexp_replace(F.regexp_replace(base, "/+", "/"), r"(?U)[\s/]+$", "")
     base = F.regexp_replace(base, r"(?U)^([^/]*)/\s[\s/]*", "$1/")
     parts = F.split(F.regexp_extract(s, r"(?s)^[^?]*\?(.*)$", 1), "&", -1)
     kept = F.filter(F.transform(parts, lambda x: F.lower(unescape(x))), lambda x: (x != "") & ~x.rlike(TRACKING))
-    query = F.array_join(F.array_sort(kept), "&")
-    return F.when(
-        s.contains("?"), F.concat(base, F.regexp_replace(query, r"(?s)^(?=.)", "?"))
-    ).otherwise(base)
+    query = F.regexp_replace(F.array_join(F.array_sort(kept), "&"), r"(?s)^(?=.)", "?")
+    slow = F.concat(base, F.when(raw.contains("?"), query).otherwise(""))
+    return F.when(raw.rlike(PLAIN), F.regexp_replace(raw, r"^https?://|/\z", "")).otherwise(slow)
 
 
 def key_host(key: Column) -> Column:
