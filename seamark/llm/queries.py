@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from seamark.functions.page_key import page_key_sql
-from seamark.llm import merkle, mixing, packing, residue
+from seamark.llm import merkle, mixing, packing, residue, subjects
 from seamark.session import table
 
 
@@ -49,7 +49,19 @@ def p9_shares(spark, d):
     return mixing.shares(mixing.mix(table(spark, d, "documents"), targets), targets)
 
 
-QUERIES = {"p3_found": p3_found, "p3_clean": p3_clean, "p7_found": p7_found, "p7_classes": p7_classes, "p7_texts": p7_texts, "p8_pack": p8_pack, "p8_report": p8_report, "p9_mix": p9_mix, "p9_shares": p9_shares}
+def _assigned(spark, d):
+    return subjects.assign(table(spark, d, "documents"), table(spark, d, "subject_labels"), table(spark, d, "subjects"))
+
+
+def p10_found(spark, d):
+    return _assigned(spark, d).select("doc_id", "subject").distinct()
+
+
+def p10_shares(spark, d):
+    return subjects.corpus_shares(_assigned(spark, d), table(spark, d, "documents"))
+
+
+QUERIES = {"p10_found": p10_found, "p10_shares": p10_shares, "p3_found": p3_found, "p3_clean": p3_clean, "p7_found": p7_found, "p7_classes": p7_classes, "p7_texts": p7_texts, "p8_pack": p8_pack, "p8_report": p8_report, "p9_mix": p9_mix, "p9_shares": p9_shares}
 
 _HOST = "regexp_extract(url_key, '^[^/?]*')"
 _KEYED = f"SELECT *, {page_key_sql('canonical', _HOST)} AS canonical_key FROM (SELECT *, {page_key_sql('url')} AS url_key FROM page_audit)"
