@@ -7,11 +7,10 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seamark.session import cut
+from seamark.plans.ordered import in_order, ordered_scan
 
 #: Names under which files are known to keep the same information.
 CONCEPTS = {
@@ -241,41 +240,19 @@ def ordered_schemas(crawls: DataFrame) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"folder": b["folder"], "file_name": b["file_name"], "tree": [parse_schema(d) for d in b["doc"]]})
 
-    n = int(crawls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     files = (
         crawls.select(F.coalesce("folder", F.lit("")).alias("folder"), F.coalesce("file_name", F.lit("")).alias("file_name"), "doc")
         .mapInPandas(parse, "folder string, file_name string, tree string")
         .filter(F.col("tree").isNotNull())
         .groupBy("folder", "file_name").agg(F.min("tree").alias("tree"))
     )
-    order = ["folder", "second", "file_name"]
-    return cut(files.withColumn("second", F.expr("try_cast(regexp_extract(file_name, '^[0-9]+', 0) as decimal(38,0))")).repartitionByRange(n, *order).sortWithinPartitions(*order))
+    return in_order(files.withColumn("second", F.expr("try_cast(regexp_extract(file_name, '^[0-9]+', 0) as decimal(38,0))")), "folder", "second", "file_name")
 
 
-def _scan(starts: dict[int, dict | None], emit: bool, only: set[int] | None):
-    """Goes through a partition's files in order. Emits changes, or one row with the state at the partition's end."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pid = TaskContext.get().partitionId()
-        if only is not None and pid not in only:
-            return
-        at = starts.get(pid) or {"folder": None, "state": None}
-        folder, state, seen, rows = at["folder"], at["state"], False, []
-        for b in batches:
-            for f, name, tree in zip(b["folder"], b["file_name"], b["tree"], strict=True):
-                if f != folder:
-                    folder, state = f, None
-                seen = True
-                state, changes = step(state, json.loads(tree))
-                if emit:
-                    rows += [(f, name, kind, old.replace(SEP, "."), new.replace(SEP, "."), SEP in old or SEP in new) for kind, old, new in changes]
-            if emit:
-                yield pd.DataFrame(rows, columns=["folder", "file_name", "change_kind", "old_field", "new_field", "nested"])
-                rows = []
-        if not emit and seen:
-            yield pd.DataFrame([(pid, json.dumps({"folder": folder, "state": state}))], columns=["pid", "end"])
-
-    return run
+def _file_step(state: dict | None, row: tuple) -> tuple[dict, list[tuple]]:
+    folder, name, tree = row
+    state, changes = step(state, json.loads(tree))
+    return state, [(folder, name, kind, old.replace(SEP, "."), new.replace(SEP, "."), SEP in old or SEP in new) for kind, old, new in changes]
 
 
 def schema_changes(crawls: DataFrame) -> DataFrame:
@@ -283,29 +260,11 @@ def schema_changes(crawls: DataFrame) -> DataFrame:
 
     Files are ordered by the second their name begins with, then by name; names without one come
     first. Each step's changes are the minimum-cost edit script between the two schema trees; nested
-    members have dotted paths and ``nested`` set. A folder's files may lie in many partitions: each
-    partition is scanned in order with the state its predecessor ends in (schema and last types of one
-    folder). States are settled by repeating the scan of partitions whose start changed, which as a
-    rule takes two rounds; the driver holds one such state a partition, whatever the number of files.
-    Invalid documents and documents that are no object count for nothing; an empty table gives no rows.
+    members have dotted paths and ``nested`` set. A folder's files may lie in many partitions: the state
+    that is carried along (schema and last types of one folder) is as small as a schema. Invalid
+    documents and documents that are no object count for nothing; an empty table gives no rows.
     """
-    files = ordered_schemas(crawls).select("folder", "file_name", "tree")
-    n = files.rdd.getNumPartitions()
-    starts: dict[int, dict | None] = {}
-    ends: dict[int, dict] = {}
-    todo: set[int] | None = None
-    for _ in range(n + 1):
-        for r in files.mapInPandas(_scan(starts, False, todo), "pid int, end string").collect():
-            ends[r["pid"]] = json.loads(r["end"])
-        new, carried = {}, None
-        for pid in range(n):
-            new[pid] = carried
-            carried = ends.get(pid, carried)
-        todo = {pid for pid in range(n) if new[pid] != starts.get(pid)}
-        starts = new
-        if not todo:
-            break
-    return files.mapInPandas(_scan(starts, True, None), CHANGE_SCHEMA)
+    return ordered_scan(ordered_schemas(crawls).select("folder", "file_name", "tree"), "folder", _file_step, CHANGE_SCHEMA)
 
 
 def canonical_names(crawls: DataFrame, changes: DataFrame) -> dict[str, str]:

@@ -10,12 +10,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def core_queries() -> dict[str, Query]:
-    from seamark.queries import general
+    from seamark.queries import crawl, general
 
-    return {**general.QUERIES}
+    return {**general.QUERIES, **crawl.QUERIES}
 
 
 def core_oracles() -> dict[str, str]:
-    from seamark.queries import general
+    from seamark.queries import crawl, general
 
-    return {**general.ORACLES}
+    return {**general.ORACLES, **crawl.ORACLES}
