@@ -81,7 +81,7 @@ def compare_key(url: Column) -> Column:
 
 def bare_host(url: Column) -> Column:
     """Host of an address or a bare domain."""
-    h = F.regexp_replace(F.lower(F.trim(F.coalesce(url, F.lit("")))), r"https?://", "")
+    h = F.regexp_replace(F.lower(F.regexp_replace(F.coalesce(url, F.lit("")), r"(?U)^\s+|\s+\z", "")), r"https?://", "")
     return F.regexp_extract(F.regexp_replace(F.regexp_replace(h, r"/+\z", ""), r"^www\.", ""), r"^[^/]*", 0)
 
 

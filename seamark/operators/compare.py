@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seamark.functions import text, urls
-from seamark.operators.reports import status_class
+from seamark.operators.reports import exact_mean, status_class
 
 #: Columns whose change is reported; null and empty are equal, 0 and empty are not.
 WATCHED = (
@@ -35,7 +35,7 @@ def diff_summary(diff: DataFrame) -> DataFrame:
 
 
 def totals(pages: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Counters of a crawl, over all its rows: no gate, response times averaged over those above 0."""
+    """Counters of a crawl, over all its rows: no gate, response times averaged over those above 0"""
     blank = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
     status, n = F.coalesce(F.col("status_code"), F.lit(0)), F.lit(0)
     bucket = status_class(F.col("status_code"))
@@ -44,8 +44,8 @@ def totals(pages: DataFrame, by: list[str] | None = None) -> DataFrame:
     out += [
         F.count_if((status >= 400) | ~blank("error")).alias("errors"),
         F.coalesce(F.max(F.coalesce("depth", n)), n).alias("max_depth"),
-        F.round(F.avg(F.coalesce("depth", n)), 2).alias("avg_depth"),
-        F.coalesce(F.round(F.avg(F.when(F.col("response_time") != 0, F.col("response_time"))), 2), F.lit(0.0)).alias("avg_response_time"),
+        exact_mean(F.coalesce("depth", n), F.count(F.lit(1)), 2).alias("avg_depth"),
+        exact_mean(F.when(F.col("response_time") != 0, F.col("response_time")), F.count_if(F.col("response_time") != 0), 2).alias("avg_response_time"),
         F.count_if(F.col("indexable")).alias("indexable"),
         F.count_if(~F.col("indexable")).alias("noindex"),
         F.count_if(~blank("redirect_url")).alias("redirects"),
@@ -63,7 +63,7 @@ def totals(pages: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 def issue_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     """``issue, a, b, delta, only_a, only_b, both``: per issue, the different addresses that have it in either crawl."""
-    one = lambda df, side: df.select(text.issue_compare_key(F.explode("issues")).alias("issue"), "url", F.lit(side).alias("side"))
+    one = lambda df, side: df.select(F.explode("issues").alias("i"), "url").select(text.issue_compare_key(F.col("i")).alias("issue"), "url", F.lit(side).alias("side"))
     sides = one(a, 1).unionByName(one(b, 2)).groupBy("issue", "url").agg(F.max((F.col("side") == 1).cast("int")).alias("in_a"), F.max((F.col("side") == 2).cast("int")).alias("in_b"))
     both = F.col("in_a") * F.col("in_b")
     out = sides.groupBy("issue").agg(F.sum("in_a").alias("a"), F.sum("in_b").alias("b"), F.sum(F.col("in_a") - both).alias("only_a"), F.sum(F.col("in_b") - both).alias("only_b"), F.sum(both).alias("both"))

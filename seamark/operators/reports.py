@@ -8,13 +8,20 @@ from pyspark.sql import functions as F
 from seamark.functions import text, urls
 
 
+def exact_mean(c: Column, n: Column, digits: int) -> Column:
+    """Sum of ``c`` (a measure to hundredths) over ``n``, rounded half up at ``digits`` decimals in whole numbers: no result depends on the order of a sum."""
+    unit = 10**digits
+    total = F.coalesce(F.sum(F.round(c * 100, 0).cast("long")), F.lit(0))
+    return F.when(n > 0, F.floor((total * (2 * unit) + n * 100) / (n * 200)) / unit).otherwise(0.0)
+
+
 def summary(pages: DataFrame) -> DataFrame:
     """One row: ``pages, errors, with_issues, avg_response_time`` (errors counted as 0 s)."""
     return pages.agg(
         F.count(F.lit(1)).alias("pages"),
         F.count_if(F.coalesce(F.col("error"), F.lit("")) != "").alias("errors"),
         F.count_if(F.size("issues") > 0).alias("with_issues"),
-        F.round(F.sum(F.coalesce(F.col("response_time"), F.lit(0.0))) / F.count(F.lit(1)), 2).alias("avg_response_time"),
+        exact_mean(F.coalesce(F.col("response_time"), F.lit(0.0)), F.count(F.lit(1)), 2).alias("avg_response_time"),
     )
 
 

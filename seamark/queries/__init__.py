@@ -10,12 +10,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def core_queries() -> dict[str, Query]:
-    from seamark.queries import crawl, general
+    from seamark.queries import crawl, general, graph
 
-    return {**general.QUERIES, **crawl.QUERIES}
+    return {**general.QUERIES, **crawl.QUERIES, **graph.QUERIES}
 
 
 def core_oracles() -> dict[str, str]:
-    from seamark.queries import crawl, general
+    from seamark.queries import crawl, general, graph
 
-    return {**general.ORACLES, **crawl.ORACLES}
+    return {**general.ORACLES, **crawl.ORACLES, **graph.ORACLES}

@@ -148,7 +148,7 @@ def category_counts(spark, d):
 
 @query(
     f"""SELECT count(*) AS pages, count(*) FILTER (coalesce(error, '') <> '') AS errors, count(*) FILTER (len(issues) > 0) AS with_issues,
-    round(sum(coalesce(response_time, 0)) / count(*), 2) AS avg_response_time FROM ({sql.ISSUES})"""
+    CASE WHEN count(*) > 0 THEN floor((coalesce(sum(CAST(round(coalesce(response_time, 0) * 100) AS BIGINT)), 0) * 200 + count(*) * 100) / (count(*) * 200)) / 100 ELSE 0 END AS avg_response_time FROM ({sql.ISSUES})"""
 )
 def crawl_summary(spark, d):
     return reports.summary(_issues(spark, d))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
@@ -23,7 +24,8 @@ PAGE_ROW = (
     "redirect_status int, redirect_hops int, redirect_chain array<struct<url:string,status:int>>, mixed_content array<string>, url_issues array<string>, "
     "hreflang array<struct<lang:string,href:string>>, og_tags map<string,string>, twitter_tags map<string,string>, analytics array<string>"
 )
-SAVED_CRAWL = f"name string, saved_at long, pages int, seed string, saved_by string, results array<struct<{', '.join(c.strip().replace(' ', ':', 1) for c in __import__('re').split(r',(?![^<]*>)', PAGE_ROW))}>>"
+_ROW_MEMBERS = re.sub(r"(^|, )(\w+) ", r"\1\2: ", PAGE_ROW)
+SAVED_CRAWL = f"name string, saved_at long, pages int, seed string, saved_by string, results array<struct<{_ROW_MEMBERS}>>"
 
 
 def saved_crawls(spark: SparkSession, folders: list[str], file_name: str | None = None) -> DataFrame:
