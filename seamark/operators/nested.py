@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 #: Children of a page: member name -> path below the page.
 CHILDREN = {"redirect_chain": ("redirect_chain",), "hreflang": ("hreflang",), "og_tags": ("og_tags",), "third_party_hosts": ("perf", "third_party_hosts"), "warnings": ("perf", "warnings")}
-NODE_SCHEMA = "rec_id long, pre int, post int, depth int, node_type string, item_name string, value string"
+NODE_SCHEMA = "rec_id string, pre int, post int, depth int, node_type string, item_name string, value string"
 
 
 def _said(v):
@@ -44,7 +44,7 @@ def _reject(name: str):
     raise ValueError(name)
 
 
-def label_nodes(rec_id: int, payload: str | None, values: bool = True) -> list[tuple]:
+def label_nodes(rec_id: str | None, payload: str | None, values: bool = True) -> list[tuple]:
     """Depth-first traversal of one payload: a tuple of NODE_SCHEMA for every node.
 
     ``pre`` counts nodes as they are entered, ``post`` as they are left, on one clock: a node lies
@@ -105,20 +105,20 @@ def node_table(records: DataFrame, values: bool = True) -> DataFrame:
     Copies are combined before the shuffle. Records are parsed in Arrow batches, each on its own;
     rows without a rec_id count as one record without an id.
     """
-    latest = records.groupBy("rec_id").agg(F.max(F.struct("loaded_at", "payload")).alias("m")).select("rec_id", F.col("m.payload").alias("payload"))
+    latest = records.groupBy("rec_id").agg(F.max(F.struct("loaded_at", "payload")).alias("m")).select(F.col("rec_id").cast("string").alias("rec_id"), F.col("m.payload").alias("payload"))
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in NODE_SCHEMA.split(", ")]
         for b in batches:
             rows: list[tuple] = []
             for rec, payload in zip(b["rec_id"], b["payload"], strict=True):
-                rows += label_nodes(None if pd.isna(rec) else int(rec), payload, values)
+                rows += label_nodes(rec, payload, values)
                 if len(rows) > 50_000:
-                    yield pd.DataFrame(rows, columns=names).astype({"rec_id": "Int64"})
+                    yield pd.DataFrame(rows, columns=names)
                     rows = []
-            yield pd.DataFrame(rows, columns=names).astype({"rec_id": "Int64"})
+            yield pd.DataFrame(rows, columns=names)
 
-    return latest.mapInPandas(parse, NODE_SCHEMA)
+    return latest.mapInPandas(parse, NODE_SCHEMA).withColumn("rec_id", F.col("rec_id").cast("long"))
 
 
 def tie_to_pages(nodes: DataFrame) -> DataFrame:

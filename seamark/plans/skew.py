@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,16 +22,22 @@ def hot_split_join(big: DataFrame, resolved: DataFrame, keys: list[str], count_c
     Keys that hold more than ``max(hot_rows, total / hot_keys)`` rows number at most ``hot_keys``:
     they are broadcast, so that their rows of ``big`` are joined where they lie. All others are
     joined by a shuffle. ``resolved`` is read several times: pass a table cut from its lineage.
-    ``resolved`` must hold every key that may be hot; drop unwanted rows after the join.
+    ``resolved`` must hold every key that may be hot; drop unwanted rows after the join. Null keys equal each other.
     """
     total = resolved.agg(F.sum(count_col)).first()[0] or 0
     limit = max(hot_rows, total // hot_keys)
+    named = {k: f"_{k}_" for k in keys}
+
+    def joined(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+        right = right.withColumnsRenamed(named)
+        same = reduce(lambda x, y: x & y, (left[k].eqNullSafe(right[named[k]]) for k in keys))
+        return left.join(right, same, how).drop(*named.values())
+
     hot, cold = resolved.filter(F.col(count_col) > limit), resolved.filter(~(F.col(count_col) > limit))
     if hot.isEmpty():
-        return big.join(resolved, keys)
-    return big.join(F.broadcast(hot), keys).unionByName(
-        big.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)
-    )
+        return joined(big, resolved, "inner")
+    rest = joined(big, F.broadcast(hot.select(*keys)), "left_anti")
+    return joined(big, F.broadcast(hot), "inner").unionByName(joined(rest, cold, "inner"))
 
 
 def lookup_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", rows: int = BROADCAST_ROWS, salts: int = 16) -> DataFrame:
