@@ -100,7 +100,8 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 13) -> DataFrame:
             b["uses"] = uses
             yield b[b["uses"] > 0][["doc_id", "source", "n_tokens", "uses"]]
 
-    return texts.select("doc_id", "source", "n_tokens").mapInPandas(used, "doc_id long, source string, n_tokens long, uses int")
+    named = texts.select(F.col("doc_id").cast("string").alias("doc_id"), "source", "n_tokens")
+    return named.mapInPandas(used, "doc_id string, source string, n_tokens long, uses int").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:

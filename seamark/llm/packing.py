@@ -16,6 +16,8 @@ from seamark.session import cut
 
 #: Tokens packed by one task. A shard leaves at most a few bins badly filled, so larger shards waste less.
 SHARD_TOKENS = 4_000_000
+#: Containers that a shard should fill at least.
+LEAST_BINS = 100
 #: Containers filled less than this after the first round are opened again and packed together.
 REOPEN = 0.97
 #: Most kinds of containers; the table of capacities is gathered after it was counted.
@@ -46,7 +48,9 @@ def best_fit(sizes: Sequence[int], sources: Sequence[int], clusters: Sequence[in
         part = (c, seen[c] // least)
         seen[c] += 1
         bits.append(1 << bit_of.setdefault(part, len(bit_of)))
-    order = sorted(range(n), key=lambda i: (-sizes[i], i))
+    # clusters that need a large part of the bins are spread first, as long as all bins have room for them
+    wide = [c >= 0 and 4 * min(seen[c], least) >= least for c in clusters]
+    order = sorted(range(n), key=lambda i: (not wide[i], -sizes[i], -seen[clusters[i]], i))
     open_bins: list[tuple[int, int]] = []
     room: list[int] = []
     held_sources: list[int] = []
@@ -96,21 +100,21 @@ def _packer(prefix: str, forbidden: dict[str, Sequence[str]]):
     return pack
 
 
-def _round(items: DataFrame, prefix: str, shard_tokens: int, forbidden: dict[str, Sequence[str]], seed: int) -> tuple[DataFrame, bool]:
+def _round(items: DataFrame, prefix: str, shard_tokens: int, least_bins: int, forbidden: dict[str, Sequence[str]], seed: int) -> tuple[DataFrame, bool]:
     """Packs all items shard by shard; also tells whether any pack took more than one shard."""
-    totals = items.groupBy("pack_name").agg(F.sum("n_tokens").alias("n")).collect()
-    shards = {r["pack_name"]: max(1, -(-r["n"] // shard_tokens)) for r in totals}
+    totals = items.groupBy("pack_name", "capacity").agg(F.sum("n_tokens").alias("n")).collect()
+    shards = {r["pack_name"]: max(1, -(-r["n"] // max(shard_tokens, least_bins * r["capacity"]))) for r in totals}
     if not shards:
         return items.withColumns({"container": F.lit(""), "room": F.lit(0).cast("long")}), False
     count = F.create_map(*(x for k, v in shards.items() for x in (F.lit(k), F.lit(v))))
-    keyed = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", F.lit(seed)), count[F.col("pack_name")]))
+    keyed = items.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", F.lit(seed)), count[F.col("pack_name")])).withColumn("doc_id", F.col("doc_id").cast("string"))
     out = keyed.groupBy("pack_name", "shard").applyInPandas(
-        _packer(prefix, forbidden), "pack_name string, capacity long, container string, doc_id long, piece int, n_tokens long, source string, cluster long, room long"
-    )
+        _packer(prefix, forbidden), "pack_name string, capacity long, container string, doc_id string, piece int, n_tokens long, source string, cluster long, room long"
+    ).withColumn("doc_id", F.col("doc_id").cast("long"))
     return out, max(shards.values()) > 1
 
 
-def pack(docs: DataFrame, limits: DataFrame, shard_tokens: int = SHARD_TOKENS, reopen: float = REOPEN, forbidden: dict[str, Sequence[str]] | None = None) -> DataFrame:
+def pack(docs: DataFrame, limits: DataFrame, shard_tokens: int = SHARD_TOKENS, least_bins: int = LEAST_BINS, reopen: float = REOPEN, forbidden: dict[str, Sequence[str]] | None = None) -> DataFrame:
     """PLACED: which container each text lies in, for every row of ``limits`` (pack_name, capacity_tokens).
 
     A text within the capacity lies whole in one container. A larger one fills containers of its own
@@ -119,7 +123,7 @@ def pack(docs: DataFrame, limits: DataFrame, shard_tokens: int = SHARD_TOKENS, r
     text share a container only where there are more copies than containers. ``forbidden`` names
     sources that may not share a container with a source.
 
-    Texts are spread by hash over shards of about ``shard_tokens`` tokens, each packed by one task;
+    Texts are spread by hash over shards of about ``shard_tokens`` tokens, and ``least_bins`` containers at least, each packed by one task;
     containers that stay below ``reopen`` of their capacity are emptied and their texts packed again
     together in a second round. All texts are packed, in full; rows of limits without a name or with
     no positive capacity are left out, and of equal names the smallest capacity counts.
@@ -139,20 +143,20 @@ def pack(docs: DataFrame, limits: DataFrame, shard_tokens: int = SHARD_TOKENS, r
     whole = (
         each.filter("n_tokens >= capacity")
         .withColumn("piece", F.explode(F.sequence(F.lit(0), (full - 1).cast("int"))))
-        .select("pack_name", F.concat(F.lit("f-"), F.col("doc_id").cast("string"), F.lit("-"), F.col("piece").cast("string")).alias("container"), "doc_id", "piece", F.col("capacity").alias("n_tokens"))
+        .select("pack_name", F.concat(F.lit("f-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit("-"), F.col("piece").cast("string")).alias("container"), "doc_id", "piece", F.col("capacity").alias("n_tokens"))
     )
     none = each.filter("n_tokens = 0").select("pack_name", F.lit(None).cast("string").alias("container"), "doc_id", F.lit(0).alias("piece"), "n_tokens")
     rest = F.col("n_tokens") % F.col("capacity")
     items = each.filter(rest > 0).select("pack_name", "capacity", "doc_id", "source", "cluster", full.cast("int").alias("piece"), rest.alias("n_tokens"))
     forbidden = forbidden or {}
-    first, many = _round(items, "a-", shard_tokens, forbidden, 1)
+    first, many = _round(items, "a-", shard_tokens, least_bins, forbidden, 1)
     placed = ["pack_name", "container", "doc_id", "piece", "n_tokens"]
     done = whole.unionByName(none)
     if not many:
         return done.unionByName(first.select(*placed))
     first = cut(first)
     loose = F.col("room") > (1 - reopen) * F.col("capacity")
-    again, _ = _round(first.filter(loose).drop("container", "room"), "b-", shard_tokens, forbidden, 2)
+    again, _ = _round(first.filter(loose).drop("container", "room"), "b-", shard_tokens, least_bins, forbidden, 2)
     return done.unionByName(first.filter(~loose).select(*placed)).unionByName(again.select(*placed))
 
 

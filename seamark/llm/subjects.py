@@ -266,7 +266,7 @@ def _clear(counts: Counter, but: int = 0) -> int:
 def sentence_votes(docs: DataFrame, seeds: dict[str, tuple[int, float]], lexicon: dict[str, tuple[int, float]], base: int) -> DataFrame:
     """``doc_id, site, source, codes, named``: per sentence the votes of seeds, lexicon and section as digits of one number to ``base``."""
     shared = docs.sparkSession.sparkContext.broadcast((seeds, lexicon))
-    src = docs.select("doc_id", F.lower(F.trim("site")).alias("site"), source_name(F.col("source")).alias("source"), "text")
+    src = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.lower(F.trim("site")).alias("site"), source_name(F.col("source")).alias("source"), "text")
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         one, two = shared.value
@@ -290,7 +290,7 @@ def sentence_votes(docs: DataFrame, seeds: dict[str, tuple[int, float]], lexicon
                 named.append(say)
             yield pd.DataFrame({"doc_id": b["doc_id"], "site": b["site"], "source": b["source"], "codes": codes, "named": named})
 
-    return src.mapInPandas(look, "doc_id long, site string, source string, codes array<int>, named array<int>")
+    return src.mapInPandas(look, "doc_id string, site string, source string, codes array<int>, named array<int>")
 
 
 def leaning(votes: DataFrame, by: str, least: int = 20, share: float = 0.5) -> DataFrame:
@@ -303,16 +303,16 @@ def leaning(votes: DataFrame, by: str, least: int = 20, share: float = 0.5) -> D
 def assign(docs: DataFrame, labels: DataFrame, subjects: DataFrame, share: float = SHARE, rounds: int = ROUNDS) -> DataFrame:
     """``doc_id, subject, sentences, about``: the subjects that at least ``share`` of a document's sentences are about.
 
-    Null, empty and wordless texts have no subject. Without hand labels, the seed words alone begin the
+    Null, empty and wordless texts have no subject; documents without an id share a null one. Without hand labels, the seed words alone begin the
     lexicon; without subjects there are no rows.
     """
     rows = subjects.filter("subject IS NOT NULL").select("subject", "description").dropDuplicates(["subject"]).orderBy("subject").limit(MAX_SUBJECTS + 1).collect()
     if len(rows) > MAX_SUBJECTS:
         raise ValueError(f"more than {MAX_SUBJECTS} subjects")
     names, base = [r["subject"] for r in rows], len(rows) + 1
-    out_schema = "doc_id long, subject string, sentences int, about int"
+    out_schema = "doc_id string, subject string, sentences int, about int"
     if not names:
-        return docs.sparkSession.createDataFrame([], out_schema)
+        return docs.sparkSession.createDataFrame([], out_schema).withColumn("doc_id", F.col("doc_id").cast("long"))
     seeds = seed_lexicon(names, [r["description"] for r in rows])
     lexicon = {**learned_lexicon(labelled_counts(docs, labels, [n.lower() for n in names]), least=6, share=0.75), **seeds}
     for k in range(rounds):
@@ -342,7 +342,7 @@ def assign(docs: DataFrame, labels: DataFrame, subjects: DataFrame, share: float
                         rows.append((doc, names[k - 1], n, about))
             yield pd.DataFrame(rows, columns=["doc_id", "subject", "sentences", "about"])
 
-    return coded.mapInPandas(decide, out_schema)
+    return coded.mapInPandas(decide, out_schema).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def corpus_shares(assigned: DataFrame, docs: DataFrame) -> DataFrame:

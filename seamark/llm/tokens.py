@@ -55,8 +55,12 @@ def count_tokens(text: str | None, path: str = TOKENIZER) -> int:
 def with_token_counts(docs: DataFrame, text_col: str = "text", path: str = TOKENIZER) -> DataFrame:
     """Replaces ``text_col`` by ``n_tokens`` and ``text_hash`` (SHA-256; null texts hash as empty ones)."""
     rest = [c for c in docs.columns if c not in (text_col, "n_tokens", "text_hash")]
-    schema = docs.select(*rest).withColumn("n_tokens", F.lit(0).cast("long")).withColumn("text_hash", F.lit(b"")).schema
-    src = docs.select(*rest, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("_h"), F.col(text_col).alias("_t"))
+    kinds = dict(docs.dtypes)
+    # whole numbers pass as text: in batches with nulls, pandas would turn them into floats
+    whole = [c for c in rest if kinds[c] in ("bigint", "int", "smallint", "tinyint")]
+    cols = [F.col(f"`{c}`").cast("string").alias(c) if c in whole else F.col(f"`{c}`") for c in rest]
+    src = docs.select(*cols, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("_h"), F.col(text_col).alias("_t"))
+    schema = src.select(*rest).withColumn("n_tokens", F.lit(0).cast("long")).withColumn("text_hash", F.lit(b"")).schema
 
     def sized(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -64,4 +68,4 @@ def with_token_counts(docs: DataFrame, text_col: str = "text", path: str = TOKEN
             b["text_hash"] = [bytes.fromhex(h) for h in b.pop("_h")]
             yield b
 
-    return src.mapInPandas(sized, schema)
+    return src.mapInPandas(sized, schema).withColumns({c: F.col(c).cast(kinds[c]) for c in whole})
