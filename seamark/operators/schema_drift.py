@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seamark.plans.ordered import in_order, ordered_scan
+from seamark.session import spread
 
 #: Names under which files are known to keep the same information.
 CONCEPTS = {
@@ -241,7 +242,7 @@ def ordered_schemas(crawls: DataFrame) -> DataFrame:
             yield pd.DataFrame({"folder": b["folder"], "file_name": b["file_name"], "tree": [parse_schema(d) for d in b["doc"]]})
 
     files = (
-        crawls.select(F.coalesce("folder", F.lit("")).alias("folder"), F.coalesce("file_name", F.lit("")).alias("file_name"), "doc")
+        spread(crawls.select(F.coalesce("folder", F.lit("")).alias("folder"), F.coalesce("file_name", F.lit("")).alias("file_name"), "doc"))
         .mapInPandas(parse, "folder string, file_name string, tree string")
         .filter(F.col("tree").isNotNull())
         .groupBy("folder", "file_name").agg(F.min("tree").alias("tree"))

@@ -8,7 +8,7 @@ from seamark.functions import detect, html_page, robots, scoring, text, urls
 from seamark.operators import audit, compare, duplicates, keywords, links, nested, reports, sitemap
 from seamark.queries import sql
 from seamark.sources import sinks
-from seamark.session import cut, table
+from seamark.session import cut, spread, table
 from seamark.streaming import crawl as streams
 
 QUERIES, ORACLES = {}, {}
@@ -289,7 +289,7 @@ _TRIP = "SELECT page_id, trim(coalesce(title, '')) AS title, coalesce(meta_descr
 def html_round_trip(spark, d):
     """Title, description and number of anchors, parsed from HTML rendered from the rows."""
     html = html_page.render_html(F.col("title"), F.col("meta_description"), F.col("h1"), F.col("canonical"), F.col("body_text"), F.col("internal_link_urls"))
-    parsed = _pages(spark, d).select("page_id", html.alias("html"), "url").select("page_id", "html", html_page.parse_html("html", "url").alias("p"))
+    parsed = spread(_pages(spark, d).select("page_id", html.alias("html"), "url")).select("page_id", "html", html_page.parse_html("html", "url").alias("p"))
     return parsed.select("page_id", "p.title", "p.meta_description", F.regexp_count("html", F.lit("<a href=")).cast("long").alias("anchors"))
 
 
@@ -297,7 +297,7 @@ def html_round_trip(spark, d):
 def html_links(spark, d):
     """Links by region, parsed from HTML rendered from the rows."""
     html = html_page.render_html(F.col("title"), F.col("meta_description"), F.col("h1"), F.col("canonical"), F.col("body_text"), F.col("internal_link_urls"))
-    rows = _pages(spark, d).select(html.alias("html"), F.trim("url").alias("url")).select(html_page.parse_html("html", "url").alias("p")).select(F.explode("p.internal_link_urls").alias("e"))
+    rows = spread(_pages(spark, d).select(html.alias("html"), F.trim("url").alias("url"))).select(html_page.parse_html("html", "url").alias("p")).select(F.explode("p.internal_link_urls").alias("e"))
     return rows.groupBy("e.placement").agg(F.count(F.lit(1)).alias("links"))
 
 
