@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from seamark.llm.mixing import source_name
 from seamark.plans.skew import lookup_join
-from seamark.session import cut
+from seamark.session import cut, spread
 
 #: Share of a document's sentences from which it is about a subject.
 SHARE = 0.25
@@ -140,7 +140,7 @@ def labelled_counts(docs: DataFrame, labels: DataFrame, subjects: list[str]) ->
                     counts["", int(k)] += 1 / len(ks)
             yield _counter_frame(counts)
 
-    return _summed(rows.mapInPandas(count, _COUNTS))
+    return _summed(spread(rows).mapInPandas(count, _COUNTS))
 
 
 def voted_counts(docs: DataFrame, lexicon: dict[str, tuple[int, float]], least: float) -> DataFrame:
@@ -172,7 +172,7 @@ def voted_counts(docs: DataFrame, lexicon: dict[str, tuple[int, float]], least:
                     counts = Counter()
         yield _counter_frame(counts)
 
-    return _summed(docs.select("text").mapInPandas(count, _COUNTS))
+    return _summed(spread(docs.select("text")).mapInPandas(count, _COUNTS))
 
 
 def learned_lexicon(counts: DataFrame, least: float, share: float, none: bool = False) -> dict[str, tuple[int, float]]:
@@ -290,7 +290,7 @@ def sentence_votes(docs: DataFrame, seeds: dict[str, tuple[int, float]], lexicon
                 named.append(say)
             yield pd.DataFrame({"doc_id": b["doc_id"], "site": b["site"], "source": b["source"], "codes": codes, "named": named})
 
-    return src.mapInPandas(look, "doc_id string, site string, source string, codes array<int>, named array<int>")
+    return spread(src).mapInPandas(look, "doc_id string, site string, source string, codes array<int>, named array<int>")
 
 
 def leaning(votes: DataFrame, by: str, least: int = 20, share: float = 0.5) -> DataFrame:

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seamark.session import spread
+
 #: Where the rank file of the tokenizer lies; every executor must be able to read it.
 TOKENIZER = os.environ.get("SEAMARK_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: Fixed value: the splitting pattern that belongs to the rank file.
@@ -68,4 +70,4 @@ def with_token_counts(docs: DataFrame, text_col: str = "text", path: str = TOKEN
             b["text_hash"] = [bytes.fromhex(h) for h in b.pop("_h")]
             yield b
 
-    return src.mapInPandas(sized, schema).withColumns({c: F.col(c).cast(kinds[c]) for c in whole})
+    return spread(src).mapInPandas(sized, schema).withColumns({c: F.col(c).cast(kinds[c]) for c in whole})
