@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seamark.functions import scoring, text, urls
@@ -118,15 +118,11 @@ def issue_histogram(pages: DataFrame) -> DataFrame:
 def issue_examples(pages: DataFrame, seq: str, most: int = 10) -> DataFrame:
     """``issue, n, urls``: full issue texts with their count and the first ``most`` addresses by ``seq``.
 
-    Addresses are ranked before they are gathered, so a list never holds more than ``most``.
+    The bound on the rank is pushed below the shuffle (WindowGroupLimit): a task sends ``most`` rows an issue at most.
     """
-    from pyspark.sql import Window
-
     rows = each_issue(pages, seq, "url")
     n = rows.groupBy("issue").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("issue", "_part").orderBy(seq)
-    part = rows.withColumn("_part", F.pmod(F.xxhash64(seq), F.lit(64))).withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= most)
-    top = part.withColumn("_rn", F.row_number().over(Window.partitionBy("issue").orderBy(seq))).filter(F.col("_rn") <= most)
+    top = rows.withColumn("_rn", F.row_number().over(Window.partitionBy("issue").orderBy(seq))).filter(F.col("_rn") <= most)
     lists = top.groupBy("issue").agg(F.transform(F.array_sort(F.collect_list(F.struct("_rn", "url"))), lambda x: x["url"]).alias("urls"))
     return n.join(lists, "issue")
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,15 +56,20 @@ def site_figures(targets: DataFrame, pages: DataFrame, fan_in: int = 16) -> Data
     return linked.join(own, "site", "full_outer").select("site", *zero)
 
 
+def _least(share: float, total: int) -> int:
+    """Fewest entries that are at least that share of the total, in exact numbers."""
+    return math.ceil(Fraction(str(share)) * total)
+
+
 def hot_keys(pages: DataFrame, site_share: float = SITE_SHARE, target_share: float = TARGET_SHARE, fan_in: int = 16) -> DataFrame:
     """``key_kind, hot_key``: hosts with at least ``site_share`` and page keys with at least ``target_share`` of all link entries."""
     targets = cut(target_figures(pages, fan_in))
     total = targets.agg(F.sum("entries")).first()[0] or 0
     sites = tree_aggregate(targets.withColumn("site", key_host(F.col("target_key"))), ["site"], sums={"entries": F.col("entries")}, fan_in=fan_in)
     return (
-        sites.filter(F.col("entries") >= F.lit(site_share * total))
+        sites.filter(F.col("entries") >= _least(site_share, total))
         .select(F.lit("site").alias("key_kind"), F.col("site").alias("hot_key"))
         .unionByName(
-            targets.filter(F.col("entries") >= F.lit(target_share * total)).select(F.lit("target").alias("key_kind"), F.col("target_key").alias("hot_key"))
+            targets.filter(F.col("entries") >= _least(target_share, total)).select(F.lit("target").alias("key_kind"), F.col("target_key").alias("hot_key"))
         )
     )

@@ -37,13 +37,12 @@ def response_codes(pages: DataFrame) -> DataFrame:
 def code_table(pages: DataFrame, seq: str, examples: int = 3) -> DataFrame:
     """``status_code, pages, pct, first_urls``: per status the count, its share in percent and the first addresses.
 
-    Every state is of fixed size: the few smallest (seq, url) are kept by nested minima, not lists.
+    The bound on the rank is pushed below the shuffle (WindowGroupLimit): a task sends ``examples`` rows a status at most.
     """
     by = pages.groupBy(F.coalesce("status_code", F.lit(0)).alias("status_code")).agg(F.count(F.lit(1)).alias("pages"))
     share = by.withColumn("pct", F.round(F.col("pages") * 100.0 / F.sum("pages").over(Window.partitionBy(F.lit(1))), 1))
-    ranked = pages.select(F.coalesce("status_code", F.lit(0)).alias("status_code"), seq, "url", F.pmod(F.xxhash64(seq), F.lit(64)).alias("_p"))
-    for keys in (["status_code", "_p"], ["status_code"]):
-        ranked = ranked.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(seq))).filter(F.col("_rn") <= examples)
+    rows = pages.select(F.coalesce("status_code", F.lit(0)).alias("status_code"), seq, "url")
+    ranked = rows.withColumn("_rn", F.row_number().over(Window.partitionBy("status_code").orderBy(seq))).filter(F.col("_rn") <= examples)
     first = ranked.groupBy("status_code").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(seq, "url"))), lambda x: x["url"]), " ").alias("first_urls"))
     return share.join(first, "status_code")
 

@@ -73,7 +73,38 @@ _ENTRIES = f"SELECT crawl_day, e.placement AS placement, {page_key_sql('e.target
 _KEYED = f"SELECT *, {page_key_sql('url')} AS url_key FROM page_audit"
 _HOST = "regexp_extract({}, '^[^/?]*')"
 
+
+def _said(j: str) -> str:
+    """A list or object written as JSON text counts as what it says."""
+    return f"CASE WHEN json_type({j}) = 'VARCHAR' AND regexp_matches(ltrim({j} ->> '$'), '^[\\[{{]') AND json_valid({j} ->> '$') THEN TRY_CAST({j} ->> '$' AS JSON) ELSE {j} END"
+
+
+def _listed(j: str) -> str:
+    s = _said(j)
+    return f"CASE WHEN {j} IS NULL OR json_type({s}) = 'NULL' THEN CAST([] AS JSON[]) WHEN json_type({s}) = 'ARRAY' THEN CAST({s} AS JSON[]) ELSE [{s}] END"
+
+
+def _each(src: str, cols: str, items: str) -> str:
+    return f"SELECT {cols}, unnest(l) AS v, unnest(range(0, len(l))) AS pos FROM (SELECT {cols}, {items} AS l FROM {src})"
+
+
 ORACLES = {
+    "p5_found": f"""
+        WITH r AS MATERIALIZED (SELECT rec_id, TRY_CAST(payload AS JSON) AS j FROM (SELECT rec_id, max(struct_pack(t := loaded_at, p := payload)).p AS payload FROM page_records GROUP BY rec_id) WHERE json_valid(payload) AND json_type(payload) = 'OBJECT'),
+        p AS MATERIALIZED (SELECT rec_id, CAST(pos AS INT) AS page_pos, {_said('v')} AS page FROM ({_each('r', 'rec_id', _listed("json_extract(j, '$.results')"))}) WHERE json_type(v) <> 'NULL'),
+        q AS MATERIALIZED (SELECT *, {_said("json_extract(page, '$.perf')")} AS perf FROM p),
+        c AS (
+         SELECT rec_id, page_pos, 'redirect_chain' AS child_name, v, pos FROM ({_each('q', 'rec_id, page_pos', _listed("json_extract(page, '$.redirect_chain')"))})
+         UNION ALL SELECT rec_id, page_pos, 'hreflang', v, pos FROM ({_each('q', 'rec_id, page_pos', _listed("json_extract(page, '$.hreflang')"))})
+         UNION ALL SELECT rec_id, page_pos, 'third_party_hosts', v, pos FROM ({_each('q', 'rec_id, page_pos', _listed("json_extract(perf, '$.third_party_hosts')"))})
+         UNION ALL SELECT rec_id, page_pos, 'warnings', v, pos FROM ({_each('q', 'rec_id, page_pos', _listed("json_extract(perf, '$.warnings')"))})),
+        o AS (SELECT rec_id, page_pos, {_said("json_extract(page, '$.og_tags')")} AS og FROM q),
+        k AS (SELECT rec_id, page_pos, unnest(json_keys(og)) AS k, og FROM o WHERE json_type(og) = 'OBJECT'),
+        g AS (SELECT rec_id, page_pos, k FROM k WHERE json_type(json_extract(og, '$."' || k || '"')) <> 'NULL'
+         UNION ALL SELECT rec_id, page_pos, v ->> '$.property' FROM ({_each("(SELECT * FROM o WHERE json_type(og) = 'ARRAY')", 'rec_id, page_pos', 'CAST(og AS JSON[])')}) WHERE json_type(v) = 'OBJECT' AND json_type(json_extract(v, '$.content')) <> 'NULL')
+        SELECT rec_id, page_pos, 'results' AS child_name, CAST(page_pos AS VARCHAR) AS item_name FROM p
+        UNION SELECT rec_id, page_pos, child_name, CAST(pos AS VARCHAR) FROM c WHERE json_type(v) <> 'NULL'
+        UNION SELECT rec_id, page_pos, 'og_tags', CASE WHEN starts_with(k, 'og:') THEN substr(k, 4) ELSE k END FROM g WHERE k IS NOT NULL""",
     "p2_found": f"""
         WITH e AS ({_ENTRIES}), n AS (SELECT count(*) AS n FROM e)
         SELECT 'site' AS key_kind, {_HOST.format('k')} AS hot_key FROM e GROUP BY hot_key HAVING count(*) >= {heavy_keys.SITE_SHARE} * (SELECT n FROM n)

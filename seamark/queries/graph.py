@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seamark.functions import detect, html_page, robots, scoring, text, urls
-from seamark.operators import audit, compare, duplicates, keywords, links, nested, reports, sitemap
+from seamark.operators import audit, compare, duplicates, extract, keywords, links, nested, reports, sitemap
 from seamark.queries import sql
 from seamark.sources import sinks
 from seamark.session import cut, spread, table
@@ -301,6 +301,21 @@ def html_links(spark, d):
     return rows.groupBy("e.placement").agg(F.count(F.lit(1)).alias("links"))
 
 
+@query(
+    f"""SELECT page_id, length(trim(coalesce(title, ''))) AS title_len, length(coalesce(meta_description, '')) AS meta_len, {sql.pagination('url')} AS is_pagination, lower({sql.part('url', 1)}) = 'https' AS is_https,
+    array_to_string({sql.hygiene('url')}, ', ') AS url_issues FROM page_audit WHERE status_code = 200"""
+)
+def audit_pipeline(spark, d):
+    """Audit rows made from fetched pages whose HTML is rendered from the rows."""
+    html = html_page.render_html(F.col("title"), F.col("meta_description"), F.col("h1"), F.col("canonical"), F.col("body_text"), F.col("internal_link_urls"))
+    none = F.lit(None).cast("string")
+    fetched = _pages(spark, d).filter("status_code = 200").select(
+        "page_id", "url", "url", "status_code", F.create_map(F.lit("Content-Type"), F.lit("text/html")).alias("headers"), html.alias("html"), none.alias("raw_html"), F.array().cast("array<struct<url:string,status:int>>").alias("history"), "response_time", "error"
+    ).toDF("page_id", "url", "final_url", "status_code", "headers", "html", "raw_html", "history", "response_time", "error")
+    rows = extract.audit_rows(fetched)
+    return rows.select("page_id", F.col("title_len").cast("long").alias("title_len"), F.col("meta_len").cast("long").alias("meta_len"), "is_pagination", F.col("security.is_https").alias("is_https"), F.array_join("url_issues", ", ").alias("url_issues"))
+
+
 @query("SELECT page_id, CASE WHEN regexp_matches(body_text, '(?is)wp-content|/wp-includes/|/wp-json/') THEN 'wordpress' END AS cms, 0 AS trackers FROM page_audit")
 def page_signatures(spark, d):
     """Content system and number of trackers that the text names."""
