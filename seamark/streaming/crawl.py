@@ -73,8 +73,9 @@ def _fold(rows: pd.DataFrame, pace: float, streak: int) -> tuple[list[tuple], fl
     return out, pace, streak
 
 
-def stream_pacing(events: DataFrame, ttl: str | None = None) -> DataFrame:
-    """PACE_SCHEMA for every event of a stream, with state per host that is kept across batches, for RESUME_SECONDS without events if timed out."""
+def stream_pacing(events: DataFrame, expire: bool = False) -> DataFrame:
+    """PACE_SCHEMA for every event of a stream, with state per host kept across batches in the checkpoint; with ``expire``,
+    a host's state is dropped after RESUME_SECONDS without events. Batches must come in the order of ``seq``."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -84,10 +85,12 @@ def stream_pacing(events: DataFrame, ttl: str | None = None) -> DataFrame:
         rows = pd.concat(list(batches))
         out, pace, streak = _fold(rows, pace, streak)
         state.update((pace, streak))
-        state.setTimeoutDuration(RESUME_SECONDS * 1000)
+        if expire:
+            state.setTimeoutDuration(RESUME_SECONDS * 1000)
         yield pd.DataFrame(out, columns=["host", "seq", "pace", "rest", "streak", "notice"])
 
-    return events.select("host", "seq", "status_code", "error", "waf").groupBy("host").applyInPandasWithState(step, PACE_SCHEMA, "pace double, streak int", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout
+    return events.select("host", "seq", "status_code", "error", "waf").groupBy("host").applyInPandasWithState(step, PACE_SCHEMA, "pace double, streak int", "append", timeout)
 
 
 def batch_pacing(log: DataFrame) -> DataFrame:

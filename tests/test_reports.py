@@ -3,6 +3,7 @@
 import datetime as dt
 import gzip
 import json
+import os
 import random
 
 import pytest
@@ -266,6 +267,7 @@ def test_streams(spark, tmp_path):
     for k in range(3):
         lines = [json.dumps({"seq": r[0], "host": r[1], "url": r[2], "status_code": r[3], "response_time": r[4], "ts": r[7].isoformat(), "internal_link_urls": [{"target": "t"}]}) for r in log()[k * 20 : k * 20 + 20]]
         (src / f"{k}.json").write_text("\n".join(lines))
+        os.utime(src / f"{k}.json", (1_900_000_000 + k, 1_900_000_000 + k))
     ev = crawl.read_events(spark, str(src))
     for name, df, mode in (("totals", crawl.running_totals(ev), "complete"), ("targets", crawl.running_inlinks(ev), "complete"), ("pace", crawl.stream_pacing(ev), "append")):
         crawl.start(df, name, mode, str(tmp_path / f"c_{name}")).awaitTermination(120)
