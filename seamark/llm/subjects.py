@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,7 +58,11 @@ _ENDED = re.compile(r"[.!?…][\"”“»)\]]*$")
 def sections(text: str | None) -> list[list[list[str]]]:
     """Sections (blocks between blank lines) of sentences of lower-case words. Markup is dropped; lines that
     end without punctuation (menus, headings) are no sentences, unless the text has no other."""
-    plain = html.unescape(_TAG.sub(" ", text or ""))
+    plain = text or ""
+    if "<" in plain:
+        plain = _TAG.sub(" ", plain)
+    if "&" in plain:
+        plain = html.unescape(plain)
     out, bare = [], []
     for block in re.split(r"\n\s*\n", plain):
         own = []
@@ -111,8 +115,9 @@ def seed_lexicon(subjects: list[str], descriptions: list[str]) -> dict[str, tupl
 _COUNTS = "term string, subject int, n double"
 
 
-def _counter_frame(counts: Counter) -> pd.DataFrame:
-    return pd.DataFrame([(t, k, float(n)) for (t, k), n in counts.items()], columns=["term", "subject", "n"])
+def _counter_frame(counts: dict[int, Counter]) -> pd.DataFrame:
+    parts = [pd.DataFrame({"term": list(c), "subject": k, "n": list(map(float, c.values()))}) for k, c in counts.items() if c]
+    return pd.concat(parts) if parts else pd.DataFrame({"term": [], "subject": [], "n": []}).astype({"term": str, "subject": "int32", "n": float})
 
 
 def _summed(counts: DataFrame) -> DataFrame:
@@ -131,13 +136,12 @@ def labelled_counts(docs: DataFrame, labels: DataFrame, subjects: list[str]) ->
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            counts: Counter = Counter()
+            counts: dict[int, Counter] = defaultdict(Counter)
             for text, ks in zip(b["text"], b["ks"], strict=True):
-                found = {t for block in sections(text) for s in block for t in terms(s)}
+                found = {"", *(t for block in sections(text) for s in block for t in terms(s))}
                 for k in ks:
                     for t in found:
-                        counts[t, int(k)] += 1 / len(ks)
-                    counts["", int(k)] += 1 / len(ks)
+                        counts[int(k)][t] += 1 / len(ks)
             yield _counter_frame(counts)
 
     return _summed(spread(rows).mapInPandas(count, _COUNTS))
@@ -154,7 +158,7 @@ def voted_counts(docs: DataFrame, lexicon: dict[str, tuple[int, float]], least:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = shared.value
-        counts: Counter = Counter()
+        counts: dict[int, Counter] = defaultdict(Counter)
         for b in batches:
             for text in b["text"]:
                 different = {tuple(s) for block in sections(text) for s in block}
@@ -165,11 +169,11 @@ def voted_counts(docs: DataFrame, lexicon: dict[str, tuple[int, float]], least:
                 total = Counter(votes)
                 for k, f in zip(votes, found, strict=True):
                     k = k if 5 * (total[k] - 1) >= len(found) - 1 else 0
-                    counts[("", k)] += 1
-                    counts.update((t, k) for t in f)
-                if len(counts) > 300_000:
+                    counts[k][""] += 1
+                    counts[k].update(f)
+                if sum(map(len, counts.values())) > 300_000:
                     yield _counter_frame(counts)
-                    counts = Counter()
+                    counts = defaultdict(Counter)
         yield _counter_frame(counts)
 
     return _summed(spread(docs.select("text")).mapInPandas(count, _COUNTS))
