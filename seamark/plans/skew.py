@@ -16,13 +16,14 @@ HOT_KEYS = 10_000
 HOT_ROWS = 100_000
 
 
-def hot_split_join(big: DataFrame, resolved: DataFrame, keys: list[str], count_col: str, hot_keys: int = HOT_KEYS, hot_rows: int = HOT_ROWS) -> DataFrame:
+def hot_split_join(big: DataFrame, resolved: DataFrame, keys: list[str], count_col: str, hot_keys: int = HOT_KEYS, hot_rows: int = HOT_ROWS, keep: Column | None = None) -> DataFrame:
     """Inner join of ``big`` with ``resolved``, which is unique on ``keys`` and counts ``big``'s rows per key.
 
     Keys that hold more than ``max(hot_rows, total / hot_keys)`` rows number at most ``hot_keys``:
     they are broadcast, so that their rows of ``big`` are joined where they lie. All others are
     joined by a shuffle. ``resolved`` is read several times: pass a table cut from its lineage.
-    ``resolved`` must hold every key that may be hot; drop unwanted rows after the join. Null keys equal each other.
+    ``resolved`` must hold every key that may be hot, wanted or not; ``keep`` tells which of its rows are wanted. Null
+    keys equal each other.
     """
     total = resolved.agg(F.sum(count_col)).first()[0] or 0
     limit = max(hot_rows, total // hot_keys)
@@ -34,10 +35,11 @@ def hot_split_join(big: DataFrame, resolved: DataFrame, keys: list[str], count_c
         return left.join(right, same, how).drop(*named.values())
 
     hot, cold = resolved.filter(F.col(count_col) > limit), resolved.filter(~(F.col(count_col) > limit))
+    wanted = (lambda df: df) if keep is None else (lambda df: df.filter(keep))
     if hot.isEmpty():
-        return joined(big, resolved, "inner")
+        return joined(big, wanted(resolved), "inner")
     rest = joined(big, F.broadcast(hot.select(*keys)), "left_anti")
-    return joined(big, F.broadcast(hot), "inner").unionByName(joined(rest, cold, "inner"))
+    return joined(big, F.broadcast(wanted(hot)), "inner").unionByName(joined(rest, wanted(cold), "inner"))
 
 
 def lookup_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", rows: int = BROADCAST_ROWS, salts: int = 16) -> DataFrame:
