@@ -107,7 +107,8 @@ def error_issue(error: Column) -> Column:
 
 
 def each_issue(pages: DataFrame, *keep: str) -> DataFrame:
-    return pages.select(*keep, F.explode("issues").alias("issue"))
+    """One row an issue. The outer form keeps Spark from inferring a filter on the array, which would compute the rules twice."""
+    return pages.select(*keep, F.explode_outer("issues").alias("issue")).filter(F.col("issue").isNotNull())
 
 
 def issue_histogram(pages: DataFrame) -> DataFrame:

@@ -66,7 +66,7 @@ def audit_rows(fetched: DataFrame, compare_raw: bool = False) -> DataFrame:
 
 def page_images(rows: DataFrame, seq: str) -> DataFrame:
     """``seq, page_url, pos, src, alt, classification`` of every image kept, widgets left out."""
-    each = rows.select(F.col(seq).alias("seq"), F.col("url").alias("page_url"), F.posexplode("images").alias("pos", "i")).select("seq", "page_url", "pos", "i.src", "i.alt", "i.classification")
+    each = rows.select(F.col(seq).alias("seq"), F.col("url").alias("page_url"), F.posexplode_outer("images").alias("pos", "i")).select("seq", "page_url", "pos", "i.src", "i.alt", "i.classification")
     return each.filter((F.coalesce("src", F.lit("")) != "") & ~detect.is_widget_image(F.col("src")))
 
 

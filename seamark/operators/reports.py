@@ -97,7 +97,7 @@ def path_tree(pages: DataFrame) -> DataFrame:
     """``node, level, pages, issues, errors``: roll-up over every prefix of the path; the root is empty."""
     parts = F.filter(F.split(urls.path(F.col("url")), "/"), lambda s: s != "")
     nodes = F.transform(F.sequence(F.lit(0), F.size("parts")), lambda i: F.struct(i.alias("level"), F.when(i == 0, "").otherwise(F.concat(F.lit("/"), F.array_join(F.slice("parts", 1, i), "/"))).alias("node")))
-    rows = pages.select(parts.alias("parts"), F.size("issues").alias("n"), (F.coalesce(F.col("status_code"), F.lit(0)) >= 400).cast("int").alias("bad")).select(F.explode(nodes).alias("x"), "n", "bad")
+    rows = pages.select(parts.alias("parts"), F.size("issues").alias("n"), (F.coalesce(F.col("status_code"), F.lit(0)) >= 400).cast("int").alias("bad")).select(F.explode_outer(nodes).alias("x"), "n", "bad")
     return rows.groupBy("x.node", "x.level").agg(F.count(F.lit(1)).alias("pages"), F.sum("n").cast("long").alias("issues"), F.sum("bad").cast("long").alias("errors"))
 
 

@@ -285,7 +285,7 @@ _CONTENT = f"list_filter({_TOK}, lambda t: t NOT IN ({_STOP}))"
 
 @query(f"SELECT t AS term, count(*) AS df, CAST(sum(n) AS BIGINT) AS tf FROM (SELECT doc_id, t, count(*) AS n FROM (SELECT doc_id, unnest({_CONTENT}) AS t FROM documents) GROUP BY ALL) GROUP BY t")
 def term_frequencies(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.explode(text.content_tokens(F.col("text"))).alias("term"))
+    rows = table(spark, d, "documents").select("doc_id", F.explode_outer(text.content_tokens(F.col("text"))).alias("term")).filter("term IS NOT NULL")
     return rows.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n")).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("tf"))
 
 

@@ -297,7 +297,7 @@ def html_round_trip(spark, d):
 def html_links(spark, d):
     """Links by region, parsed from HTML rendered from the rows."""
     html = html_page.render_html(F.col("title"), F.col("meta_description"), F.col("h1"), F.col("canonical"), F.col("body_text"), F.col("internal_link_urls"))
-    rows = spread(_pages(spark, d).select(html.alias("html"), F.trim("url").alias("url"))).select(html_page.parse_html("html", "url").alias("p")).select(F.explode("p.internal_link_urls").alias("e"))
+    rows = spread(_pages(spark, d).select(html.alias("html"), F.trim("url").alias("url"))).select(html_page.parse_html("html", "url").alias("p")).select(F.explode_outer("p.internal_link_urls").alias("e")).filter("e IS NOT NULL")  # else the UDF runs twice, once for an inferred filter
     return rows.groupBy("e.placement").agg(F.count(F.lit(1)).alias("links"))
 
 
