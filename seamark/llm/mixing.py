@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seamark.llm.tokens import with_token_counts
+from seamark.llm.tokens import TOKENIZER, with_token_counts
 from seamark.session import cut
 
 #: Most sources that may have a target; the table of targets is gathered after it was counted.
@@ -48,7 +48,7 @@ def budgets(sizes: dict[str, int], targets: dict[str, tuple[Fraction, int]]) ->
     return out
 
 
-def shuffled_texts(docs: DataFrame, targets: dict[str, tuple[Fraction, int]], seed: int = 13) -> DataFrame:
+def shuffled_texts(docs: DataFrame, targets: dict[str, tuple[Fraction, int]], seed: int = 13, tokenizer: str = TOKENIZER) -> DataFrame:
     """``doc_id, source, n_tokens, key, pid``: one document a text, range-partitioned by source and hash-random key, cut from lineage.
 
     Equal texts count as one, under the smallest doc_id: otherwise a text could be used more often
@@ -56,7 +56,7 @@ def shuffled_texts(docs: DataFrame, targets: dict[str, tuple[Fraction, int]], se
     """
     named = docs.select("doc_id", source_name(F.col("source")).alias("source"), "text").filter(F.col("source").isin(*targets) if targets else F.lit(False))
     texts = (
-        with_token_counts(named)
+        with_token_counts(named, path=tokenizer)
         .filter("n_tokens > 0")
         .groupBy("text_hash")
         .agg(F.min(F.struct("doc_id", "source", "n_tokens")).alias("m"))
@@ -68,7 +68,7 @@ def shuffled_texts(docs: DataFrame, targets: dict[str, tuple[Fraction, int]], se
     return cut(texts.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("pid", F.spark_partition_id()))
 
 
-def mix(docs: DataFrame, targets: DataFrame, seed: int = 13) -> DataFrame:
+def mix(docs: DataFrame, targets: DataFrame, seed: int = 13, tokenizer: str = TOKENIZER) -> DataFrame:
     """``doc_id, source, n_tokens, uses``: how often each text is used in the mix. Unused texts give no rows.
 
     Each source's texts are range-sorted by a hash-random key; sums per partition and source give
@@ -78,7 +78,7 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 13) -> DataFrame:
     driver holds a sum per partition and source, whatever the number of texts.
     """
     want = read_targets(targets)
-    texts = shuffled_texts(docs, want, seed)
+    texts = shuffled_texts(docs, want, seed, tokenizer)
     sums = texts.groupBy("pid", "source").agg(F.sum("n_tokens").alias("n")).collect()
     sizes: dict[str, int] = {}
     offsets: dict[tuple[int, str], int] = {}

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seamark.llm.mixing import source_name
-from seamark.llm.tokens import with_token_counts
+from seamark.llm.tokens import TOKENIZER, with_token_counts
 from seamark.session import cut
 
 #: Tokens packed by one task. A shard leaves at most a few bins badly filled, so larger shards waste less.
@@ -114,7 +114,7 @@ def _round(items: DataFrame, prefix: str, shard_tokens: int, least_bins: int, fo
     return out, max(shards.values()) > 1
 
 
-def pack(docs: DataFrame, limits: DataFrame, shard_tokens: int = SHARD_TOKENS, least_bins: int = LEAST_BINS, reopen: float = REOPEN, forbidden: dict[str, Sequence[str]] | None = None) -> DataFrame:
+def pack(docs: DataFrame, limits: DataFrame, shard_tokens: int = SHARD_TOKENS, least_bins: int = LEAST_BINS, reopen: float = REOPEN, forbidden: dict[str, Sequence[str]] | None = None, tokenizer: str = TOKENIZER) -> DataFrame:
     """PLACED: which container each text lies in, for every row of ``limits`` (pack_name, capacity_tokens).
 
     A text within the capacity lies whole in one container. A larger one fills containers of its own
@@ -133,7 +133,7 @@ def pack(docs: DataFrame, limits: DataFrame, shard_tokens: int = SHARD_TOKENS, l
         raise ValueError(f"more than {MAX_PACKS} kinds of containers")
     packs = F.array(*(F.struct(F.lit(r["pack_name"]).alias("pack_name"), F.lit(r["capacity"]).cast("long").alias("capacity")) for r in rows))
     sized = cut(
-        with_token_counts(docs.select("doc_id", F.coalesce(source_name(F.col("source")), F.lit("")).alias("source"), "text"))
+        with_token_counts(docs.select("doc_id", F.coalesce(source_name(F.col("source")), F.lit("")).alias("source"), "text"), path=tokenizer)
         .select("doc_id", "source", "n_tokens", F.xxhash64("text_hash").alias("cluster"))
     )
     if not rows:

@@ -263,3 +263,11 @@ def test_label_model_learns_who_is_right():
     assert (m.posterior(votes).argmax(axis=1) == y).mean() > 0.93
     a = m.accuracies()
     assert a[0] > a[2] > a[1]
+
+
+def test_another_tokenizer(spark):
+    other = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+    rows = [(1, "Tardó más de lo previsto, naïve Straße.", "x")]
+    limits = spark.createDataFrame([("c", 512)], "pack_name string, capacity_tokens int")
+    size = lambda t: packing.pack(docs(spark, rows), limits, tokenizer=t).first().n_tokens
+    assert size(tokens.TOKENIZER) == tokens.count_tokens(rows[0][1]) and size(other) == tokens.count_tokens(rows[0][1], other)
