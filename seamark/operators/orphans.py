@@ -13,10 +13,12 @@ from seamark.session import cut
 GONE = (404, 410)
 #: Reference columns that stand for the record itself: what refers to an orphan through one of them is an orphan too.
 CASCADE = ("canonical", "redirect_url")
+#: Stands for a crawl day that is null: before all others.
+NO_DAY = -(2**31)
 
 
-def references(pages: DataFrame) -> DataFrame:
-    """``page_id, crawl_id, crawl_day, url, ref_field, address, host``: each page's references as written.
+def references(pages: DataFrame, *keep: str) -> DataFrame:
+    """``page_id, crawl_id, crawl_day, url, ref_field, address, host``: each page's references as written, with the columns ``keep``.
 
     Null addresses are no references. A row names a target once for each spelling it uses. ``host`` is the
     page's own host if the address begins with one slash, which is read on it, and else null.
@@ -26,9 +28,9 @@ def references(pages: DataFrame) -> DataFrame:
         F.array_distinct(F.coalesce(F.col("internal_link_urls.target"), F.array().cast("array<string>"))),
         lambda t: F.struct(F.lit("internal_link_urls").alias("ref_field"), t.alias("address")),
     )
-    rows = pages.select("page_id", "crawl_id", "crawl_day", "url", F.explode(F.concat(F.array(one("canonical"), one("redirect_url")), links)).alias("r"))
+    rows = pages.select("page_id", "crawl_id", "crawl_day", "url", *keep, F.explode(F.concat(F.array(one("canonical"), one("redirect_url")), links)).alias("r"))
     own = F.when(F.col("r.address").rlike(r"(?U)^\s*/(?!/)"), key_host(page_key(F.col("url"))))
-    return rows.filter(F.col("r.address").isNotNull()).select("page_id", "crawl_id", "crawl_day", "url", "r.ref_field", "r.address", own.alias("host"))
+    return rows.filter(F.col("r.address").isNotNull()).select("page_id", "crawl_id", "crawl_day", "url", *keep, "r.ref_field", "r.address", own.alias("host"))
 
 
 def key_history(pages: DataFrame) -> DataFrame:
@@ -41,7 +43,8 @@ def key_history(pages: DataFrame) -> DataFrame:
 
 
 def resolve(demand: DataFrame, history: DataFrame) -> DataFrame:
-    """Adds ``orphan_kind`` to ``target_key, crawl_day, n_refs``: missing, late, deleted, or null if the page was there.
+    """Adds ``orphan_kind`` to ``target_key, crawl_day, n_refs``: missing, late, deleted, or null if the page was there;
+    and ``target_day``, the day of the answer that tells.
 
     An as-of match without a join: both sides are lined up per key by day, and each reference takes
     over the last answer of its own or an earlier day. A key holds a row a day at most on either
@@ -52,15 +55,30 @@ def resolve(demand: DataFrame, history: DataFrame) -> DataFrame:
     )
     past = Window.partitionBy("key").orderBy(F.col("day").asc_nulls_first(), "side").rowsBetween(Window.unboundedPreceding, 0)
     return (
-        both.select("key", "day", "n_refs", "side", F.last("gone", ignorenulls=True).over(past).alias("was"), F.min("side").over(Window.partitionBy("key")).alias("known"))
+        both.select("key", "day", "n_refs", "side", F.last("gone", ignorenulls=True).over(past).alias("was"), F.last(F.when(F.col("side") == 0, F.struct("day")), ignorenulls=True).over(past).alias("at"), F.min("side").over(Window.partitionBy("key")).alias("known"))
         .filter("side = 1")
         .select(
             F.col("key").alias("target_key"), F.col("day").alias("crawl_day"), "n_refs",
-            F.when(F.col("known") == 1, "missing").when(F.col("was").isNull(), "late").when(F.col("was"), "deleted").alias("orphan_kind"),
+            F.when(F.col("known") == 1, "missing").when(F.col("was").isNull(), "late").when(F.col("was"), "deleted").alias("orphan_kind"), F.col("at.day").alias("target_day"),
         )
     )
 
 
+def settled_spellings(refs: DataFrame, history: DataFrame, standing: bool = False) -> DataFrame:
+    """``address, host, crawl_day, n_refs, target_key, orphan_kind, there, target_day``: the verdict on every spelling of a day, cut from lineage.
+
+    ``there`` and ``target_day`` tell, with ``standing`` only, that the page was there, and the day of its latest answer by then.
+    """
+    spelled = cut(refs.groupBy("address", "host", "crawl_day").agg(F.count(F.lit(1)).alias("n_refs")).withColumn("target_key", page_key(F.col("address"), F.col("host"))))
+    demand = spelled.groupBy("target_key", "crawl_day").agg(F.sum("n_refs").alias("n_refs"))
+    hosts = cut(history.select(key_host(F.col("key")).alias("key_host")).distinct().withColumn("host_known", F.lit(True)))
+    found = lookup_join(resolve(demand, history).withColumn("key_host", key_host(F.col("target_key"))), hosts, ["key_host"], "left")
+    told = F.col("host_known") & (F.col("target_key") != "") & (F.col("orphan_kind").isNotNull() | F.lit(standing))
+    verdicts = found.filter(told).select(F.col("target_key").alias("_k"), F.col("crawl_day").alias("_d"), "orphan_kind", F.col("orphan_kind").isNull().alias("there"), "target_day")
+    same = (F.col("target_key") == F.col("_k")) & F.col("crawl_day").eqNullSafe(F.col("_d"))
+    return cut(spelled.join(verdicts, same, "left").select("address", "host", "crawl_day", "n_refs", "target_key", "orphan_kind", F.coalesce("there", F.lit(False)).alias("there"), "target_day"))
+
+
 def direct_orphans(pages: DataFrame) -> DataFrame:
     """``page_id, crawl_id, crawl_day, url_key, ref_field, target_key, orphan_kind``: references whose page is missing, late or deleted.
 
@@ -69,22 +87,59 @@ def direct_orphans(pages: DataFrame) -> DataFrame:
     references meet their verdict as written.
     """
     refs = references(pages)
-    history = key_history(pages)
-    spelled = cut(refs.groupBy("address", "host", "crawl_day").agg(F.count(F.lit(1)).alias("n_refs")).withColumn("target_key", page_key(F.col("address"), F.col("host"))))
-    demand = spelled.groupBy("target_key", "crawl_day").agg(F.sum("n_refs").alias("n_refs"))
-    hosts = cut(history.select(key_host(F.col("key")).alias("key_host")).distinct().withColumn("host_known", F.lit(True)))
-    found = lookup_join(resolve(demand, history).withColumn("key_host", key_host(F.col("target_key"))), hosts, ["key_host"], "left")
-    lost = found.filter(F.col("host_known") & (F.col("target_key") != "") & F.col("orphan_kind").isNotNull()).select(F.col("target_key").alias("_k"), F.col("crawl_day").alias("_d"), "orphan_kind")
-    same = (F.col("target_key") == F.col("_k")) & F.col("crawl_day").eqNullSafe(F.col("_d"))
-    settled = cut(spelled.join(lost, same, "left").select("address", "host", "crawl_day", "n_refs", "target_key", "orphan_kind"))
+    settled = settled_spellings(refs, key_history(pages)).drop("there", "target_day")
     orphaned = hot_split_join(refs, settled, ["address", "host", "crawl_day"], "n_refs", keep=F.col("orphan_kind").isNotNull())
     return orphaned.select("page_id", "crawl_id", "crawl_day", page_key(F.col("url")).alias("url_key"), "ref_field", "target_key", "orphan_kind")
 
 
+def orphaned_records(edges: DataFrame, first: DataFrame) -> DataFrame:
+    """``key, day, level``: the records ``first`` (``key, day``) at level 0, and those that refer to them over n ``edges``
+    (``key, day, target_key, target_day``, no nulls).
+
+    A fixpoint of semi-joins down the references until a round finds no new record. Each record is found
+    once, so cycles end, however long the chains.
+    """
+    frontier, level = cut(first), 0
+    done = frontier.withColumn("level", F.lit(0))
+    while not frontier.isEmpty():
+        level += 1
+        hit = lookup_join(edges, frontier.select(F.col("key").alias("target_key"), F.col("day").alias("target_day")), ["target_key", "target_day"], "left_semi")
+        frontier = cut(hit.select("key", "day").distinct().join(done, ["key", "day"], "left_anti"))
+        done = done.unionByName(frontier.withColumn("level", F.lit(level)))
+        if level % 16 == 0:
+            done = cut(done)  # keeps the plan short on long chains
+    return done
+
+
+def orphan_cascade(pages: DataFrame) -> DataFrame:
+    """Every orphan reference with ``level``: 0 for direct ones, n for those inherited over n references.
+
+    A record is a page key on a crawl day. It is orphaned if any of its references, in any of the three
+    fields, is a direct orphan or leads to an orphaned record; every reference to an orphaned record is
+    ``inherited``, whatever else its page refers to. As for direct orphans, a reference means the latest
+    record of its own or an earlier day, of whatever crawl. What a record refers to on itself does not count.
+    ``crawl_day`` null is a day before all others; an empty table gives no rows.
+    """
+    day = lambda c: F.coalesce(F.unix_date(c), F.lit(NO_DAY))
+    spelling = ["address", "host", "crawl_day"]
+    refs = references(pages.withColumn("url_key", page_key(F.col("url"))), "url_key")
+    settled = settled_spellings(refs, key_history(pages), standing=True).withColumn("target_day", day("target_day"))
+    direct, other = F.col("orphan_kind").isNotNull(), F.col("target_key") != F.col("url_key")
+    linked = hot_split_join(refs, settled, spelling, "n_refs", keep=direct | F.col("there")).filter(direct | other)
+    graph = cut(linked.select(F.col("url_key").alias("key"), day("crawl_day").alias("day"), F.when(~direct, F.col("target_key")).alias("target_key"), F.when(~direct, F.col("target_day")).alias("target_day")).distinct())
+    records = orphaned_records(graph.filter("target_key IS NOT NULL"), graph.filter("target_key IS NULL").select("key", "day"))
+    named = records.select(F.col("key").alias("target_key"), F.col("day").alias("target_day"), F.lit(True).alias("there"), (F.col("level") + 1).alias("_up"))
+    told = settled.join(named, ["target_key", "target_day", "there"], "left").select(
+        *spelling, "n_refs", "target_key", F.when(direct, F.col("orphan_kind")).when(F.col("_up").isNotNull(), "inherited").alias("orphan_kind"), F.when(direct, F.lit(0)).otherwise(F.col("_up")).alias("level")
+    )
+    found = hot_split_join(refs, cut(told), spelling, "n_refs", keep=direct).filter((F.col("level") == 0) | other)
+    return found.select("page_id", "crawl_id", "crawl_day", "url_key", "ref_field", "target_key", "orphan_kind", "level")
+
+
 def orphan_references(pages: DataFrame, cascade: tuple[str, ...] = CASCADE, max_rounds: int = 1000) -> DataFrame:
-    """Orphan references with ``level``: 0 for direct ones, n for those inherited over n references.
+    """Direct orphan references (``level`` 0), and each page's nearest ones inherited through ``cascade`` within its crawl.
 
-    Fixpoint cascade: a row whose ``canonical`` or ``redirect_url`` is an orphan is an orphaned
+    The narrow form; ``orphan_cascade`` has every inherited reference. Fixpoint cascade: a row whose ``canonical`` or ``redirect_url`` is an orphan is an orphaned
     record; within its crawl, every row that refers to that record through one of the ``cascade``
     columns inherits (``orphan_kind`` is ``inherited``), and so on by semi-joins down the references
     until a round finds nothing new. Each page is orphaned once, so cycles end. ``crawl_day`` null is

@@ -64,7 +64,7 @@ def p6_found(spark, d):
 
 
 def p6_report(spark, d):
-    return orphans.orphan_report(orphans.orphan_references(_pages(spark, d)))
+    return orphans.orphan_report(orphans.orphan_cascade(_pages(spark, d)))
 
 
 QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p1_table": p1_table, "p5_found": p5_found, "p5_pages": p5_pages, "p5_redirect_chain": p5_redirect_chain, "p2_found": p2_found, "p2_targets": p2_targets, "p2_sites": p2_sites, "p4_found": p4_found, "p6_found": p6_found, "p6_report": p6_report}

@@ -328,3 +328,45 @@ def test_orphan_report(spark):
     rows = [{"page_id": i, "url": f"http://s.test/{i}", "canonical": "http://s.test/none"} for i in range(3)]
     got = orphans.orphan_report(orphans.orphan_references(pages(spark, rows))).collect()
     assert [(r.ref_field, r.month, r.orphan_kind, r.refs, r.targets) for r in got] == [("canonical", "2031-01", "missing", 3, 1)]
+
+
+def test_orphan_cascade_over_all_fields_and_crawls(spark):
+    d, u = (lambda n: dt.date(2031, 1, n)), (lambda p: f"http://s.test/{p}")
+    rows = [
+        {"page_id": 1, "url": u("a"), "crawl_day": d(1), "canonical": u("b"), "redirect_url": u("none"), "internal_link_urls": [(u("a"),)]},
+        {"page_id": 2, "url": u("b"), "crawl_day": d(1), "canonical": u("a"), "internal_link_urls": [(u("A/"),), (u("fine"),)]},
+        {"page_id": 3, "url": u("c"), "crawl_day": d(1), "internal_link_urls": [(u("b"),)]},
+        {"page_id": 4, "url": u("e"), "crawl_day": d(2), "crawl_id": 2, "canonical": u("c")},
+        {"page_id": 5, "url": u("fine"), "crawl_day": d(1)},
+        {"page_id": 6, "url": u("b"), "crawl_day": d(3), "crawl_id": 3},
+        {"page_id": 7, "url": u("f"), "crawl_day": d(3), "crawl_id": 3, "canonical": u("b")},
+        {"page_id": 8, "url": u("g"), "crawl_day": None, "internal_link_urls": [(u("h"),)]},
+        {"page_id": 9, "url": u("h"), "crawl_day": None, "internal_link_urls": [(u("none"),)]},
+    ]
+    got = {(r.page_id, r.ref_field, r.target_key, r.orphan_kind, r.level) for r in orphans.orphan_cascade(pages(spark, rows)).collect()}
+    assert got == {
+        (1, "redirect_url", "s.test/none", "missing", 0), (1, "canonical", "s.test/b", "inherited", 2), (2, "canonical", "s.test/a", "inherited", 1), (2, "internal_link_urls", "s.test/a", "inherited", 1),
+        (3, "internal_link_urls", "s.test/b", "inherited", 2), (4, "canonical", "s.test/c", "inherited", 3), (8, "internal_link_urls", "s.test/h", "inherited", 1), (9, "internal_link_urls", "s.test/none", "missing", 0),
+    }
+    assert orphans.orphan_cascade(pages(spark, rows).limit(0)).count() == 0
+
+
+def test_orphan_cascade_against_plain_loop(spark):
+    rng = random.Random(8)
+    url = lambda: f"http://s.test/{rng.randrange(60)}"
+    some = lambda: url() if rng.random() < 0.15 else None
+    rows = [{"page_id": i, "url": url(), "crawl_day": dt.date(2031, 1, rng.randint(1, 4)), "canonical": some(), "redirect_url": some(), "internal_link_urls": [(url(),)] if rng.random() < 0.3 else []} for i in range(80)]
+    days = defaultdict(set)
+    for r in rows:
+        days[r["url"]].add(r["crawl_day"])
+    refs = [(r, f, t) for r in rows for f, t in [("canonical", r["canonical"]), ("redirect_url", r["redirect_url"]), *(("internal_link_urls", t) for (t,) in r["internal_link_urls"])] if t]
+    record = lambda r, t: (t, max((x for x in days[t] if x <= r["crawl_day"]), default=None))
+    level, n = {(r["url"], r["crawl_day"]): 0 for r, _, t in refs if record(r, t)[1] is None}, 0
+    while True:
+        new = {(r["url"], r["crawl_day"]) for r, _, t in refs if level.get(record(r, t)) == n} - level.keys()
+        if not new:
+            break
+        n += 1
+        level |= dict.fromkeys(new, n)
+    want = {(r["page_id"], f, 0 if record(r, t)[1] is None else level[record(r, t)] + 1) for r, f, t in refs if record(r, t)[1] is None or (record(r, t) in level and t != r["url"])}
+    assert {(r.page_id, r.ref_field, r.level) for r in orphans.orphan_cascade(pages(spark, rows)).collect()} == want and n > 1
