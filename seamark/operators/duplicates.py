@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seamark.functions import text
+from seamark.plans.skew import lookup_join
 from seamark.session import cut
 
 #: Words of a shingle, least words of a text, least similarity.
@@ -17,21 +18,21 @@ def eligible(url: Column, canonical: Column, indexable: Column) -> Column:
     return ((F.coalesce(canonical, F.lit("")) == "") | (canonical == url)) & F.coalesce(indexable, F.lit(True))
 
 
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str, least_words: int = LEAST_WORDS, common_only: bool = True) -> DataFrame:
-    """``id, shingles``: sorted 64-bit hashes of the different shingles of each text of at least ``least_words`` content words.
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, least_words: int = LEAST_WORDS, common_only: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``id, shingles``, and the columns ``keep``: sorted 64-bit hashes of the different shingles of each text of at least ``least_words`` content words.
 
     With ``common_only``, words that occur in one text only are dropped before shingles are formed, so
     that gaps close; a text left with fewer words than a shingle has has an empty set.
     """
-    words = cut(docs.select(F.col(id_col).alias("id"), text.content_tokens(F.col(text_col)).alias("w")).filter(F.size("w") >= least_words))
+    words = cut(docs.select(F.col(id_col).alias("id"), *keep, text.content_tokens(F.col(text_col)).alias("w")).filter(F.size("w") >= least_words))
     if common_only:
         seen = words.select("id", F.explode(F.array_distinct("w")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
         rare = seen.filter("df = 1").select("t")
         # a word of one text belongs to that text only: the join's result is one small list a text
         gone = words.select("id", F.explode(F.array_distinct("w")).alias("t")).join(rare, "t").groupBy("id").agg(F.collect_list("t").alias("gone"))
-        words = words.join(gone, "id", "left").select("id", F.when(F.col("gone").isNull(), F.col("w")).otherwise(F.filter("w", lambda t: ~F.array_contains("gone", t))).alias("w"))
+        words = words.join(gone, "id", "left").select("id", *keep, F.when(F.col("gone").isNull(), F.col("w")).otherwise(F.filter("w", lambda t: ~F.array_contains("gone", t))).alias("w"))
     hashed = F.array_sort(F.array_distinct(F.transform(text.shingles(F.col("w"), WORDS), lambda s: F.xxhash64(s))))
-    return words.select("id", hashed.alias("shingles"))
+    return words.select("id", *keep, hashed.alias("shingles"))
 
 
 def classes(sets: DataFrame) -> DataFrame:
@@ -72,6 +73,21 @@ def membership(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     return sets.filter(F.size("shingles") > 0).join(named, "shingles").select("id", "class_id", "copies", "links")
 
 
+def document_classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, class_id, copies, links`` of every text, however short: texts with equal shingle sets are one class.
+
+    Texts without shingles (too few common words in ASCII letters) are classed by their whole text, apart from case and
+    white space, and have no links; null is an empty text.
+    """
+    whole = F.sha2(text.squeeze(F.lower(F.coalesce(F.col(text_col), F.lit("")))), 256)
+    sets = cut(shingle_sets(docs.select(id_col, text_col, whole.alias("whole")), id_col, text_col, least_words=0, keep=("whole",)))
+    shingled = sets.select("id", "shingles")
+    bare = sets.filter(F.size("shingles") == 0).select("id", "whole")
+    alike = cut(bare.groupBy("whole").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("copies")))
+    rest = lookup_join(bare, alike, ["whole"]).select("id", "class_id", "copies", F.lit(0).cast("long").alias("links"))
+    return membership(shingled, cut(similar_pairs(shingled))).unionByName(rest)
+
+
 def shared_phrase(a: Column, b: Column) -> Column:
     """The first shingle, in order of text, that two texts share; null if none."""
     return F.array_min(F.array_intersect(text.shingles(text.content_tokens(a)), text.shingles(text.content_tokens(b))))

@@ -346,8 +346,7 @@ def near_duplicates(spark, d):
 
 @query()
 def near_duplicate_classes(spark, d):
-    sets = _shingles(spark, d)
-    return duplicates.membership(sets, cut(duplicates.similar_pairs(sets)))
+    return duplicates.document_classes(table(spark, d, "documents"), "doc_id", "text")
 
 
 # ---- keywords: parts stand for keywords, their sales for interest, prices for result counts ----

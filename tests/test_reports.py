@@ -130,6 +130,13 @@ def test_near_duplicates_against_all_pairs(spark):
     assert sum(r.links for r in {r.class_id: r for r in m.values()}.values()) == 2 * len(want)
 
 
+def test_document_classes_have_every_document(spark):
+    short = "red fox jumps over seven lazy dogs today"
+    docs = [(1, short), (2, short.upper()), (3, short + " unheard"), (4, "tiny text"), (5, " Tiny  TEXT "), (6, None), (7, ""), (8, "Привет мир"), (9, "привет мир"), (10, "Другой текст")]
+    got = {r.id: (r.class_id, r.copies, r.links) for r in duplicates.document_classes(spark.createDataFrame(docs, "id long, text string"), "id", "text").collect()}
+    assert got == {1: (1, 3, 0), 2: (1, 3, 0), 3: (1, 3, 0), 4: (4, 2, 0), 5: (4, 2, 0), 6: (6, 2, 0), 7: (6, 2, 0), 8: (8, 2, 0), 9: (8, 2, 0), 10: (10, 1, 0)}
+
+
 def test_compare_is_symmetric(spark):
     a = rows(spark, {"url": "http://A.test/x/"}, {"url": "http://a.test/y", "title": None}, {"url": "http://a.test/z"})
     b = rows(spark, {"url": "http://a.test/X", "title": "other"}, {"url": "http://a.test/y", "title": ""}, {"url": "http://a.test/new"})
