@@ -30,20 +30,25 @@ def audit_rows(fetched: DataFrame, compare_raw: bool = False) -> DataFrame:
     """Audit rows of fetched pages (FETCHED): what the HTML holds, redirects, indexability, security, signatures, issues.
 
     HTML is parsed once a page (twice with ``compare_raw``, to tell what only shows after scripts ran).
-    Answers of status 400 and over, and those that are not HTML, keep their row without content.
+    Answers of status 400 and over, and those that are not HTML, keep their row without content. A redirect that was
+    not followed (status 3xx with a ``Location``) keeps its own address; its chain ends at the location with status 0.
     """
     f = fetched.withColumn("headers", F.transform_keys(F.coalesce("headers", F.create_map().cast("map<string,string>")), lambda k, _v: F.lower(k)))
     final, asked = F.coalesce("final_url", "url"), F.col("url")
     kind = F.lower(F.coalesce(F.try_element_at("headers", F.lit("content-type")), F.lit("")))
     is_page = (F.coalesce("status_code", F.lit(0)) < 400) & ((kind == "") | kind.contains("html"))
     parsed = spread(f).withColumn("p", html_page.parse_html(F.when(is_page, F.col("html")), final))
-    hops = F.coalesce(F.size("history"), F.lit(0))
-    moved = urls.redirect_kind(asked, F.when(hops > 0, final))
+    ahead = F.when(F.col("status_code").between(300, 399), F.nullif(F.try_element_at("headers", F.lit("location")), F.lit("")))
+    hop = lambda u, s: F.array(F.struct(u.alias("url"), s.cast("int").alias("status")))
+    trail = F.when(ahead.isNotNull() & (F.coalesce(F.size("history"), F.lit(0)) <= 0), hop(final, F.col("status_code"))).otherwise(F.col("history"))
+    hops = F.greatest(F.lit(0), F.coalesce(F.size(trail), F.lit(0)))
+    last = F.coalesce(ahead, final)
+    moved = urls.redirect_kind(asked, F.when(hops > 0, last))
     html = F.coalesce("html", F.lit(""))
     noindex = F.coalesce(F.try_element_at("headers", F.lit("x-robots-tag")), F.lit("")).rlike("(?i)noindex") | F.col("p.robots").contains("noindex")
     cols = {
-        "original_url": F.when(moved.isNotNull(), asked), "redirect_url": F.when(moved.isNotNull(), final), "redirect_kind": moved, "redirect_status": F.when(moved.isNotNull(), F.col("history")[0]["status"]), "redirect_hops": hops,
-        "redirect_chain": F.when(hops > 0, F.concat("history", F.array(F.struct(final.alias("url"), F.col("status_code").alias("status"))))), "content_type": F.left(kind, F.lit(50)),
+        "original_url": F.when(moved.isNotNull() & ahead.isNull(), asked), "redirect_url": F.when(moved.isNotNull(), last), "redirect_kind": moved, "redirect_status": F.when(moved.isNotNull(), F.get(trail, F.lit(0))["status"]), "redirect_hops": hops,
+        "redirect_chain": F.when(hops > 0, F.concat(trail, hop(last, F.when(ahead.isNotNull(), 0).otherwise(F.col("status_code"))))), "content_type": F.left(kind, F.lit(50)),
         "last_modified": F.try_element_at("headers", F.lit("last-modified")), "x_robots_tag": F.try_element_at("headers", F.lit("x-robots-tag")),
         "security": security_flags(F.col("headers"), final), "indexable": ~noindex, "is_pagination": urls.is_pagination(asked), "url_issues": urls.hygiene_flags(asked), "canonical_kind": F.when(is_page, canonical_kind(F.col("p.canonical"), asked, final)),
         "body_hash": text.body_hash(F.col("p.body_text")), "analytics": detect.trackers(html), "cms": detect.content_system(html, F.col("headers")), "js_platform": F.when(F.col("raw_html").isNull(), detect.script_platform(html)),

@@ -316,6 +316,30 @@ def audit_pipeline(spark, d):
     return rows.select("page_id", F.col("title_len").cast("long").alias("title_len"), F.col("meta_len").cast("long").alias("meta_len"), "is_pagination", F.col("security.is_https").alias("is_https"), F.array_join("url_issues", ", ").alias("url_issues"))
 
 
+def _fetched(pages):
+    """What a fetch delivered for each row: its address and answer, hops, content type and HTML rendered from the row."""
+    html = html_page.render_html(F.col("title"), F.col("meta_description"), F.col("h1"), F.col("canonical"), F.col("body_text"), F.col("internal_link_urls"))
+    answered = F.coalesce("status_code", F.lit(0)) > 0
+    ahead = F.when(F.col("status_code").between(300, 399), F.col("redirect_url"))
+    hops = F.greatest(F.lit(0), F.coalesce(F.size("redirect_chain"), F.lit(0)) - 1)
+    headers = {"Content-Type": F.col("content_type"), "Location": ahead, "X-Robots-Tag": F.when(~F.col("indexable"), "noindex")}
+    named = F.map_filter(F.create_map(*(x for k, v in headers.items() for x in (F.lit(k), v))), lambda _k, v: v.isNotNull())
+    return pages.select(
+        "page_id", F.coalesce(F.nullif("original_url", F.lit("")), "url").alias("url"), F.col("url").alias("final_url"), "status_code", named.alias("headers"), F.when(answered, html).alias("html"),
+        F.lit(None).cast("string").alias("raw_html"), F.slice("redirect_chain", F.lit(1), hops).cast("array<struct<url:string,status:int>>").alias("history"), "response_time", "error",
+    )
+
+
+@query()
+def audit_pipeline_full(spark, d):
+    """Audit rows of all fetched pages, whatever their answer, with redirects, links and issues; audit_pipeline is the part that SQL states."""
+    rows = extract.audit_rows(_fetched(_pages(spark, d)))
+    return rows.select(
+        "page_id", "url", "original_url", "status_code", "content_type", "title", "title_len", "meta_len", "indexable", "canonical_kind", "is_pagination", F.col("security.is_https").alias("is_https"), "url_issues",
+        "redirect_url", "redirect_kind", "redirect_status", "redirect_hops", "redirect_chain", "internal_links", "internal_link_urls", "external_links", "issues", "error",
+    )
+
+
 @query("SELECT page_id, CASE WHEN regexp_matches(body_text, '(?is)wp-content|/wp-includes/|/wp-json/') THEN 'wordpress' END AS cms, 0 AS trackers FROM page_audit")
 def page_signatures(spark, d):
     """Content system and number of trackers that the text names."""

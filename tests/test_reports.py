@@ -317,3 +317,28 @@ def test_audit_rows(spark):
     e = spark.createDataFrame([("s", "https://a.test/x/"), ("https://a.test/x", "q")], "source string, target string")
     row, to, out = extract.page_detail(rows, e, "https://a.test/x")
     assert (row.count(), to.count(), out.count()) == (1, 1, 1)
+
+
+def test_unfollowed_redirects_keep_their_address(spark):
+    from seamark.operators import extract
+
+    asked, fetched = "http://a.test/x", "seq int, " + extract.FETCHED
+    df = spark.createDataFrame([(1, asked, asked, 301, {"Location": "http://a.test/z"}, "", None, [(asked, 301), ("http://a.test/y", 302)], 0.1, None), (2, asked, None, 302, {"location": "https://a.test/x"}, "", None, None, 0.1, None)], fetched)
+    got = {r.seq: r for r in extract.audit_rows(df).collect()}
+    assert (got[1].url, got[1].redirect_url, got[1].redirect_kind, got[1].redirect_status, got[1].redirect_hops) == (asked, "http://a.test/z", "other", 301, 2)
+    assert [tuple(h) for h in got[1].redirect_chain] == [(asked, 301), ("http://a.test/y", 302), ("http://a.test/z", 0)] and "Redirect (2 hops)" in got[1].issues
+    assert (got[2].redirect_kind, got[2].redirect_hops, [tuple(h) for h in got[2].redirect_chain]) == ("http_to_https", 1, [(asked, 302), ("https://a.test/x", 0)])
+
+
+def test_audit_pipeline_has_every_row(spark, data):
+    import __spark_entry__ as entry
+
+    table = {r.page_id: r for r in spark.read.parquet(f"{data}/page_audit.parquet").collect()}
+    got = {r.page_id: r for r in entry.queries()["audit_pipeline_full"](spark, data).collect()}
+    assert got.keys() == table.keys() and {r.status_code for r in got.values()} > {200, 0}
+    for i, r in got.items():
+        t = table[i]
+        assert r.url == t.url and r.status_code == t.status_code and (t.redirect_chain is None or not r.redirect_chain or [tuple(h) for h in r.redirect_chain] == [tuple(h) for h in t.redirect_chain])
+        assert (f"HTTP {t.status_code} error" in r.issues) == ((t.status_code or 0) >= 400)
+    moved = [i for i, t in table.items() if 300 <= (t.status_code or 0) < 400 and t.redirect_url]
+    assert moved and all(got[i].redirect_url == table[i].redirect_url for i in moved)
