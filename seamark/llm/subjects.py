@@ -24,8 +24,8 @@ from seamark.session import cut, spread
 
 #: Share of a document's sentences from which it is about a subject.
 SHARE = 0.25
-#: Most terms of the learned lexicon, the most frequent first. A bound of the model; all sentences are counted.
-MAX_TERMS = 200_000
+#: Most terms of a learned lexicon that is broadcast; a larger one stays a table that each document's terms are joined to.
+BROADCAST_TERMS = 200_000
 #: Most subjects; the table of subjects is gathered after it was counted.
 MAX_SUBJECTS = 60
 #: Rounds in which the lexicon is grown over the corpus.
@@ -147,20 +147,50 @@ def labelled_counts(docs: DataFrame, labels: DataFrame, subjects: list[str]) ->
     return _summed(spread(rows).mapInPandas(count, _COUNTS))
 
 
-def voted_counts(docs: DataFrame, lexicon: dict[str, tuple[int, float]], least: float) -> DataFrame:
+def with_lexicon(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """``docs`` with ``lex_term, lex_subject, lex_weight``: the part of the lexicon (``term, subject, weight``) that each text needs, null if none."""
+    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+
+    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            at, found = [], []
+            for row, text in zip(b["_row"], b["text"], strict=True):
+                mine = {t for block in sections(text) for s in block for t in terms(s)}
+                at += [row] * len(mine)
+                found += mine
+                if len(found) > 300_000:
+                    yield pd.DataFrame({"_row": at, "term": found})
+                    at, found = [], []
+            if found:
+                yield pd.DataFrame({"_row": at, "term": found})
+
+    hits = lookup_join(spread(rows.select("_row", "text")).mapInPandas(own, "_row long, term string"), lexicon, ["term"])
+    per = hits.groupBy("_row").agg(F.collect_list(F.struct("term", "subject", "weight")).alias("lex"))
+    return rows.join(per.select("_row", *(F.col(f"lex.{n}").alias(f"lex_{n}") for n in ("term", "subject", "weight"))), "_row", "left").drop("_row")
+
+
+def _own_lexicons(b: pd.DataFrame) -> Iterator[dict[str, tuple[int, float]]]:
+    """Of each row of with_lexicon, its part as a dictionary."""
+    for t, k, w in zip(b["lex_term"], b["lex_subject"], b["lex_weight"], strict=True):
+        yield {} if t is None else {x: (int(y), float(z)) for x, y, z in zip(t, k, w, strict=True)}
+
+
+def voted_counts(docs: DataFrame, lexicon: dict[str, tuple[int, float]] | DataFrame, least: float) -> DataFrame:
     """_COUNTS: in how many sentences voted for a subject (0: for none) each term is, over the whole corpus.
 
     A vote counts if at least a fifth of the document's other sentences have it too, else as one for none: so
     fixed phrases that occur in documents of any subject are learned as such. A document's equal sentences
     count once, and sentences that stand alone not at all, as nothing can back them.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+    small = isinstance(lexicon, dict)
+    src = docs.select("text") if small else with_lexicon(docs.select("text"), lexicon)
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon if small else None)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = shared.value
+        given = shared.value
         counts: dict[int, Counter] = defaultdict(Counter)
         for b in batches:
-            for text in b["text"]:
+            for text, known in zip(b["text"], _own_lexicons(b) if given is None else [given] * len(b), strict=True):
                 different = {tuple(s) for block in sections(text) for s in block}
                 found = [terms(list(s)) for s in sorted(different)]
                 if len(found) < 2:
@@ -176,13 +206,13 @@ def voted_counts(docs: DataFrame, lexicon: dict[str, tuple[int, float]], least:
                     counts = defaultdict(Counter)
         yield _counter_frame(counts)
 
-    return _summed(spread(docs.select("text")).mapInPandas(count, _COUNTS))
+    return _summed(spread(src).mapInPandas(count, _COUNTS))
 
 
-def learned_lexicon(counts: DataFrame, least: float, share: float, none: bool = False) -> dict[str, tuple[int, float]]:
+def learned_lexicon(counts: DataFrame, least: float, share: float, none: bool = False, broadcast: int = BROADCAST_TERMS) -> dict[str, tuple[int, float]] | DataFrame:
     """Terms that speak for one subject, with their log-odds: at least ``least`` occurrences, and ``share`` of them in
     that subject after the subjects' sizes are made equal. With ``none``, also terms that speak for no subject (0)
-    in the same way. At most MAX_TERMS, the most frequent ones."""
+    in the same way. All of them: a dictionary if they were counted to be at most ``broadcast``, else a table ``term, subject, weight``."""
     counts = cut(counts)
     sizes = {r["subject"]: r["n"] for r in counts.filter("term = ''").collect()}
     if not sizes:
@@ -191,18 +221,25 @@ def learned_lexicon(counts: DataFrame, least: float, share: float, none: bool =
     rate = (F.col("n") / size[F.col("subject")]).alias("rate")
     top = F.col("top")
     meant = (top["subject"] > 0) | F.lit(none)
-    by = (
+    floor = 0.5 / max(1.0, sum(sizes.values()))
+    rest = (F.col("all") - top["rate"]) / max(1, len(sizes) - 1)
+    found = cut(
         counts.filter("term <> ''").select("term", "subject", "n", rate).groupBy("term")
         .agg(F.sum("n").alias("n"), F.sum("rate").alias("all"), F.max(F.struct("rate", "subject")).alias("top"))
         .filter((F.col("n") >= least) & (top["rate"] >= share * F.col("all")) & meant)
-        .orderBy(F.col("n").desc(), "term").limit(MAX_TERMS)
+        .select("term", top["subject"].alias("subject"), F.least(F.lit(5.0), F.log((top["rate"] + floor) / (rest + floor))).alias("weight"))
     )
-    floor = 0.5 / max(1.0, sum(sizes.values()))
-    out = {}
-    for r in by.collect():
-        rest = (r["all"] - r["top"]["rate"]) / max(1, len(sizes) - 1)
-        out[r["term"]] = (r["top"]["subject"], float(min(5.0, np.log((r["top"]["rate"] + floor) / (rest + floor)))))
-    return out
+    if found.count() > broadcast:
+        return found
+    return {r["term"]: (r["subject"], r["weight"]) for r in found.collect()}
+
+
+def with_seeds(lexicon: dict[str, tuple[int, float]] | DataFrame, seeds: dict[str, tuple[int, float]]) -> dict[str, tuple[int, float]] | DataFrame:
+    """The lexicon with the seed words in place of its own entries for them."""
+    if isinstance(lexicon, dict):
+        return {**lexicon, **seeds}
+    own = lexicon.sparkSession.createDataFrame([(t, k, w) for t, (k, w) in seeds.items()], "term string, subject int, weight double")
+    return cut(lexicon.join(F.broadcast(own), "term", "left_anti").unionByName(own))
 
 
 # ---- the latent model ----
@@ -267,16 +304,18 @@ def _clear(counts: Counter, but: int = 0) -> int:
     return 0 if not best or (len(best) > 1 and best[0][1] == best[1][1]) else best[0][0]
 
 
-def sentence_votes(docs: DataFrame, seeds: dict[str, tuple[int, float]], lexicon: dict[str, tuple[int, float]], base: int) -> DataFrame:
+def sentence_votes(docs: DataFrame, seeds: dict[str, tuple[int, float]], lexicon: dict[str, tuple[int, float]] | DataFrame, base: int) -> DataFrame:
     """``doc_id, site, source, codes, named``: per sentence the votes of seeds, lexicon and section as digits of one number to ``base``."""
-    shared = docs.sparkSession.sparkContext.broadcast((seeds, lexicon))
+    small = isinstance(lexicon, dict)
+    shared = docs.sparkSession.sparkContext.broadcast((seeds, lexicon if small else None))
     src = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.lower(F.trim("site")).alias("site"), source_name(F.col("source")).alias("source"), "text")
+    src = src if small else with_lexicon(src, lexicon)
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        one, two = shared.value
+        one, given = shared.value
         for b in batches:
             codes, named = [], []
-            for text in b["text"]:
+            for text, two in zip(b["text"], _own_lexicons(b) if given is None else [given] * len(b), strict=True):
                 own, say, blocks = [], [], []
                 for block in sections(text):
                     found = [terms(s) for s in block]
@@ -304,7 +343,7 @@ def leaning(votes: DataFrame, by: str, least: int = 20, share: float = 0.5) -> D
     return best.filter((F.col("all") >= least) & (F.col("top.n") >= share * F.col("all"))).select(by, F.col("top.k").alias(f"{by}_vote"))
 
 
-def assign(docs: DataFrame, labels: DataFrame, subjects: DataFrame, share: float = SHARE, rounds: int = ROUNDS) -> DataFrame:
+def assign(docs: DataFrame, labels: DataFrame, subjects: DataFrame, share: float = SHARE, rounds: int = ROUNDS, broadcast: int = BROADCAST_TERMS) -> DataFrame:
     """``doc_id, subject, sentences, about``: the subjects that at least ``share`` of a document's sentences are about.
 
     Null, empty and wordless texts have no subject; documents without an id share a null one. Without hand labels, the seed words alone begin the
@@ -318,9 +357,10 @@ def assign(docs: DataFrame, labels: DataFrame, subjects: DataFrame, share: float
     if not names:
         return docs.sparkSession.createDataFrame([], out_schema).withColumn("doc_id", F.col("doc_id").cast("long"))
     seeds = seed_lexicon(names, [r["description"] for r in rows])
-    lexicon = {**learned_lexicon(labelled_counts(docs, labels, [n.lower() for n in names]), least=6, share=0.75), **seeds}
+    lexicon = with_seeds(learned_lexicon(labelled_counts(docs, labels, [n.lower() for n in names]), least=6, share=0.75, broadcast=broadcast), seeds)
     for k in range(rounds):
-        lexicon = learned_lexicon(voted_counts(docs, lexicon, TWO_TERMS if k else ONE_TERM), least=5, share=0.75, none=k == rounds - 1) or lexicon
+        grown = learned_lexicon(voted_counts(docs, lexicon, TWO_TERMS if k else ONE_TERM), least=5, share=0.75, none=k == rounds - 1, broadcast=broadcast)
+        lexicon = lexicon if isinstance(grown, dict) and not grown else grown
     votes = cut(sentence_votes(docs, seeds, lexicon, base))
     for by in ("site", "source"):
         votes = lookup_join(votes, cut(leaning(votes, by)), [by], "left")

@@ -271,3 +271,19 @@ def test_another_tokenizer(spark):
     limits = spark.createDataFrame([("c", 512)], "pack_name string, capacity_tokens int")
     size = lambda t: packing.pack(docs(spark, rows), limits, tokenizer=t).first().n_tokens
     assert size(tokens.TOKENIZER) == tokens.count_tokens(rows[0][1]) and size(other) == tokens.count_tokens(rows[0][1], other)
+
+
+def test_lexicon_has_no_cap(spark, data):
+    docs, labels, named = (spark.read.parquet(f"{data}/{n}.parquet") for n in ("documents", "subject_labels", "subjects"))
+    counts = spark.createDataFrame([("", k, 100.0) for k in (0, 1, 2)] + [(f"t{i}", 1 + i % 2, 9.0) for i in range(50)] + [("the", k, 90.0) for k in (0, 1, 2)], subjects._COUNTS).cache()
+    table = subjects.learned_lexicon(counts, 5, 0.75, broadcast=10)
+    assert {r.term: (r.subject, r.weight) for r in table.collect()} == subjects.learned_lexicon(counts, 5, 0.75) and table.count() == 50
+    got, size = [], "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    try:
+        for terms, batch in ((subjects.BROADCAST_TERMS, before), (subjects.BROADCAST_TERMS, "7"), (10, "7")):  # many batches a task, as on large data
+            spark.conf.set(size, batch)
+            got.append(sorted(map(tuple, subjects.assign(docs, labels, named, broadcast=terms).collect())))
+    finally:
+        spark.conf.set(size, before)
+    assert got[0] == got[1] == got[2] and len(got[0]) > 10
