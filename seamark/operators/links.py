@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,8 +91,9 @@ def hreflang_issues(declared: DataFrame) -> DataFrame:
     return invalid.unionByName(double).unionByName(oneway)
 
 
-def breadth_first(links: DataFrame, seeds: DataFrame, max_depth: int = 20) -> DataFrame:
-    """``node, depth``: shortest number of links from a seed, level by level; both inputs have ``source, target`` and ``node``.
+def breadth_first(links: DataFrame, seeds: DataFrame, max_depth: int | None = 20) -> DataFrame:
+    """``node, depth``: shortest number of links from a seed, level by level, to ``max_depth`` or, if it is None, until no
+    node is new; both inputs have ``source, target`` and ``node``.
 
     Each level joins the frontier with the edges and drops what was seen; levels are cut from their
     lineage in the shared checkpoint folder.
@@ -98,12 +101,14 @@ def breadth_first(links: DataFrame, seeds: DataFrame, max_depth: int = 20) -> Da
     graph = cut(links.select("source", "target").filter("source IS NOT NULL AND target IS NOT NULL").distinct())
     seen = cut(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
     frontier = seen
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         step = graph.join(frontier.select(F.col("node").alias("source")), "source", "left_semi").select(F.col("target").alias("node")).distinct()
         frontier = cut(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+        if depth % 16 == 0:
+            seen = cut(seen)  # keeps the plan short on long chains
     return seen
 
 

@@ -107,6 +107,17 @@ def test_breadth_first(spark):
     assert {tuple(r) for r in links.breadth_first(e, s, 1).collect()} == {("a", 0), ("b", 1), ("c", 1)}
 
 
+def test_link_depth_has_no_end(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    rng, n = random.Random(3), 24
+    to = {i: [i + 1, *(rng.randrange(i + 1) for _ in range(2))] for i in range(n)}
+    url = lambda i: f"http://a.test/{i or ''}"
+    df = spark.createDataFrame([(i, 1, url(i), [(url(t), "a", "main") for t in to[i]]) for i in range(n)], "page_id long, crawl_id long, url string, internal_link_urls array<struct<target:string,anchor:string,placement:string>>")
+    df.write.parquet(str(tmp_path / "page_audit.parquet"))
+    assert sorted(r.depth for r in entry.queries()["link_depth"](spark, str(tmp_path)).collect()) == list(range(n + 1))
+
+
 def test_near_duplicates_against_all_pairs(spark):
     rng = random.Random(4)
     words = [f"{a}{b}" for a in ("ka", "lo", "mi", "ne", "pu", "ra") for b in ("bak", "del", "fin", "gor", "hup")]
