@@ -268,6 +268,13 @@ def schema_changes(crawls: DataFrame) -> DataFrame:
     return ordered_scan(ordered_schemas(crawls).select("folder", "file_name", "tree"), "folder", _file_step, CHANGE_SCHEMA)
 
 
+def change_report(changes: DataFrame) -> DataFrame:
+    """``change_kind, nested, old_field, new_field, files, folders``: how many files and different folders have each change."""
+    change = ["change_kind", "nested", "old_field", "new_field"]
+    per = changes.groupBy(*change, "folder").agg(F.count(F.lit(1)).alias("files"))
+    return per.groupBy(*change).agg(F.sum("files").alias("files"), F.count(F.lit(1)).alias("folders"))
+
+
 def canonical_names(crawls: DataFrame, changes: DataFrame) -> dict[str, str]:
     """Field name -> name it has in the consistent table: names joined by renames, under the one most files use.
 

@@ -18,8 +18,7 @@ def p1_found(spark, d):
 
 
 def p1_report(spark, d):
-    changes = schema_drift.schema_changes(table(spark, d, "saved_crawls"))
-    return changes.groupBy("change_kind", "nested", "old_field", "new_field").agg(F.count(F.lit(1)).alias("files"), F.approx_count_distinct("folder").alias("folders"))
+    return schema_drift.change_report(schema_drift.schema_changes(table(spark, d, "saved_crawls")))
 
 
 def p1_table(spark, d):

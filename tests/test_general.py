@@ -208,6 +208,12 @@ def test_consistent_table(spark):
     assert got["1"].valid and not got["3"].valid
 
 
+def test_change_report_counts_exactly(spark):
+    rows = [(f"f{i}", f"{j}", "added", "", "x", False) for i in range(3000) for j in range(1 + (i < 10))]
+    got = schema_drift.change_report(spark.createDataFrame(rows, schema_drift.CHANGE_SCHEMA)).collect()
+    assert [(r.files, r.folders) for r in got] == [(3010, 3000)]
+
+
 # ---- p2 ----
 
 
