@@ -9,12 +9,12 @@ from seamark.session import table
 
 def p3_found(spark, d):
     pages = table(spark, d, "page_audit")
-    return residue.flagged(pages, residue.train(pages)).select("page_id").distinct()
+    return residue.flagged(pages, residue.train(pages, every_host=True)).select("page_id").distinct()
 
 
 def p3_clean(spark, d):
     pages = table(spark, d, "page_audit")
-    found = residue.flagged(pages, residue.train(pages)).select("page_id").distinct()
+    found = residue.flagged(pages, residue.train(pages, every_host=True)).select("page_id").distinct()
     good = pages.filter("status_code BETWEEN 200 AND 299").select("page_id", "crawl_id", "url", "title", "word_count")
     return good.join(found, "page_id", "left_anti")
 

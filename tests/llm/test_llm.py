@@ -287,3 +287,12 @@ def test_lexicon_has_no_cap(spark, data):
     finally:
         spark.conf.set(size, before)
     assert got[0] == got[1] == got[2] and len(got[0]) > 10
+
+
+def test_residue_learns_from_held_out_hosts(spark):
+    hosts = spark.range(200).select(F.concat(F.lit("h"), F.col("id"), F.lit(".test")).alias("h"))
+    host = hosts.filter(F.pmod(F.xxhash64("h"), F.lit(residue.HELD_OUT)) == 0).first().h
+    cases = [(i, 200, f"Notes on hedge {i}", f"We planted row {i} in spring.") for i in range(40)] + [(100 + i, 404, "404 Not Found", "") for i in range(20)] + [(200 + i, 200, "{{ title }}", "") for i in range(5)]
+    df = audit(spark, cases).withColumn("url", F.concat(F.lit(f"http://{host}/"), F.col("page_id")))
+    assert residue.flagged(df, residue.train(df)).count() == 0
+    assert {r.page_id for r in residue.flagged(df, residue.train(df, every_host=True)).collect()} == set(range(200, 205))
