@@ -6,7 +6,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 
 from seamark.session import cut
@@ -16,9 +16,11 @@ Step = Callable[[object, tuple], tuple[object, list[tuple]]]
 
 
 def in_order(df: DataFrame, group: str, *order: str) -> DataFrame:
-    """Range-partitioned and sorted by group and order, and cut from its lineage: no group is bound to one partition."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cut(df.repartitionByRange(n, group, *order).sortWithinPartitions(group, *order))
+    """Range-partitioned and sorted by group and order, and cut from its lineage: no group is bound to one partition.
+
+    The number of partitions is left to the engine, which joins small neighbouring ranges.
+    """
+    return cut(df.repartitionByRange(group, *order).sortWithinPartitions(group, *order))
 
 
 def ordered_scan(rows: DataFrame, group: str, step: Step, schema: str) -> DataFrame:
@@ -26,7 +28,7 @@ def ordered_scan(rows: DataFrame, group: str, step: Step, schema: str) -> DataFr
 
     A group may lie in many partitions. Each partition is scanned in order, beginning with the state
     its predecessor ends in. Those states are settled by repeating the scan of partitions whose start
-    has changed, until none does: a state that soon forgets its start takes two or three rounds, any
+    has changed, and of no others, until none does: a state that soon forgets its start takes two or three rounds, any
     other at most one a partition. The driver holds one state a partition, whatever the number of
     rows. Group values must not be null.
     """
@@ -34,12 +36,12 @@ def ordered_scan(rows: DataFrame, group: str, step: Step, schema: str) -> DataFr
     at = columns.index(group)
     names = [c.strip().split(" ", 1)[0] for c in schema.split(",")]
 
-    def scan(starts: dict[int, list | None], emit: bool, only: set[int] | None):
+    sc = rows.sparkSession.sparkContext
+
+    def scan(starts: Broadcast, emit: bool):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             pid = TaskContext.get().partitionId()
-            if only is not None and pid not in only:
-                return
-            current, state = starts.get(pid) or (None, None)
+            current, state = starts.value.get(pid) or (None, None)
             seen = False
             for b in batches:
                 out: list[tuple] = []
@@ -60,16 +62,15 @@ def ordered_scan(rows: DataFrame, group: str, step: Step, schema: str) -> DataFr
     n = rows.rdd.getNumPartitions()
     starts: dict[int, list | None] = {}
     ends: dict[int, list] = {}
-    todo: set[int] | None = None
-    for _ in range(n + 1):
-        for r in rows.mapInPandas(scan(starts, False, todo), "pid int, end string").collect():
+    todo = list(range(n))
+    while todo and n > 1:
+        ended = rows.mapInPandas(scan(sc.broadcast(starts), False), "pid int, end string").rdd
+        for r in sc.runJob(ended, list, todo):
             ends[r["pid"]] = json.loads(r["end"])
         new, carried = {}, None
         for pid in range(n):
             new[pid] = carried
             carried = ends.get(pid, carried)
-        todo = {pid for pid in range(n) if new[pid] != starts.get(pid)}
+        todo = [pid for pid in range(n) if new[pid] != starts.get(pid)]
         starts = new
-        if not todo:
-            break
-    return rows.mapInPandas(scan(starts, True, None), schema)
+    return rows.mapInPandas(scan(sc.broadcast(starts), True), schema)

@@ -14,7 +14,7 @@ def _pages(spark, d):
 
 
 def p1_found(spark, d):
-    return schema_drift.schema_changes(table(spark, d, "saved_crawls")).filter("NOT nested").drop("nested").distinct()
+    return schema_drift.field_changes(table(spark, d, "saved_crawls"))
 
 
 def p1_report(spark, d):
@@ -22,9 +22,7 @@ def p1_report(spark, d):
 
 
 def p1_table(spark, d):
-    crawls = table(spark, d, "saved_crawls")
-    changes = schema_drift.schema_changes(crawls)
-    return schema_drift.consistent_table(crawls, schema_drift.canonical_names(crawls, changes))
+    return schema_drift.consistent_table(table(spark, d, "saved_crawls"))
 
 
 def p2_found(spark, d):

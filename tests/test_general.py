@@ -75,6 +75,17 @@ def test_ordered_scan_crosses_partitions(spark):
 # ---- p1 ----
 
 
+#: What the names in the test data mean; the operator has to find it out.
+CONCEPT_OF = {
+    name: concept
+    for concept, names in {
+        "who": ("saved_by", "savedBy", "user_ip", "ip", "client_addr"), "pages": ("pages", "urls", "n_pages", "page_count", "pagesTotal"), "name": ("name", "title", "crawl_name"),
+        "when": ("saved_at", "savedAt", "ts"), "seed": ("seed", "start_url", "seedUrl"), "version": ("tool_version", "version"), "retention": ("retention_days", "keep_days"),
+    }.items()
+    for name in names
+}
+
+
 def brute_changes(files):
     """Files in order, field by field; independent of trees and scans."""
     kind = lambda v: None if v is None else "boolean" if isinstance(v, bool) else "number" if isinstance(v, (int, float)) else "string" if isinstance(v, str) else "array" if isinstance(v, list) else "object"
@@ -86,9 +97,9 @@ def brute_changes(files):
         came = {}
         for a in sorted(set(prev) - set(o)):
             for b in sorted(set(o) - set(prev)):
-                c = schema_drift.CONCEPT_OF.get(a)
+                c = CONCEPT_OF.get(a)
                 ta = last[a] if prev[a] is None else kind(prev[a])
-                if b not in came and c and c == schema_drift.CONCEPT_OF.get(b) and (ta is None or o[b] is None or ta == kind(o[b])):
+                if b not in came and c and c == CONCEPT_OF.get(b) and (ta is None or o[b] is None or ta == kind(o[b])):
                     came[b] = a
                     break
         out |= {(name, "renamed", a, b) for b, a in came.items()}
@@ -194,18 +205,53 @@ def test_assignment_is_minimal():
 def test_moves():
     t = schema_drift.schema_tree
     a, b = t({"p": {"k": 1, "q": "x"}, "r": {}}), t({"p": {"q": "x"}, "r": {"k": 1}})
-    script = schema_drift.moves(a, b, schema_drift.tree_edit(a, b)[1])
     s = schema_drift.SEP
-    assert script == [("moved", f"p{s}k", f"r{s}k")]
+    assert schema_drift.tree_edit(a, b) == (schema_drift.MOVE, [("moved", f"p{s}k", f"r{s}k")])
     assert schema_drift.tree_edit(a, a) == (0.0, [])
+    wrapped = schema_drift.tree_edit(t({"seed": "https://a.test/"}), t({"seed": {"url": "https://a.test/", "depth": 0}}))[1]
+    assert sorted(wrapped) == [("added", "", f"seed{s}depth"), ("moved", "seed", f"seed{s}url"), ("retyped", "seed", "seed")]
+
+
+def test_schema_of_a_list_is_the_union_of_its_elements():
+    t = schema_drift.schema_tree
+    assert t([None, {"a": 1}, {"b": "x"}, 3])["c"]["[]"] == {"t": "number|object", "k": "count", "c": {"a": t(1), "b": t("x")}}
+    assert schema_drift.tree_edit(t({"l": [{"a": 1}, {"a": 1}]}), t({"l": [{"a": 1}, {"a": 1, "b": 2}]}))[1] == [("added", "", schema_drift.SEP.join(("l", "[]", "b")))]
+
+
+def test_fields_that_cross_the_top_level(spark):
+    rows = [("f", "1", '{"meta": {"seed": "x"}, "name": "n"}'), ("f", "2", '{"meta": {}, "seed": "x", "name": "n"}'), ("f", "3", '{"meta": {"seed": "x"}, "name": "n"}')]
+    got = {(r.file_name, r.change_kind, r.old_field, r.new_field) for r in schema_drift.field_changes(crawls(spark, rows)).collect()}
+    assert got == {("2", "added", "", "seed"), ("3", "removed", "seed", "")}
+    every = {(r.file_name, r.change_kind, r.old_field, r.new_field) for r in schema_drift.schema_changes(crawls(spark, rows)).collect()}
+    assert every == {("2", "moved", "meta.seed", "seed"), ("3", "moved", "seed", "meta.seed")}
+
+
+def test_very_deep_documents_are_invalid(spark):
+    deep = lambda n: '{"a": ' * n + "1" + "}" * n
+    rows = [("f", "1", '{"a": 1}'), ("f", "2", deep(300)), ("f", "3", deep(5000)), ("f", "4", "{}")]
+    assert changes(crawls(spark, rows)) == {("f", "2", "retyped", "a", "a"), ("f", "4", "removed", "a", "")}
 
 
 def test_consistent_table(spark):
-    df = crawls(spark, [("f", "1", '{"saved_by": "a1", "pages": 3}'), ("f", "2", '{"user_ip": "1.1.1.1", "pages": {"total": 4}}'), ("f", "3", '{"pages"')])
-    names = {"saved_by": "saved_by", "user_ip": "saved_by", "pages": "pages"}
-    got = {r.file_name: r for r in schema_drift.consistent_table(df, names).collect()}
-    assert got["1"].saved_by == "a1" and got["2"].saved_by == "1.1.1.1" and json.loads(got["2"].pages) == {"total": 4}
-    assert got["1"].valid and not got["3"].valid
+    j = json.dumps
+    rows = [
+        ("A", "1", j({"ip": "10.0.0.1", "pages": 3, "seed": "https://a.test/", "t": ["x", 1], "js": True, "copies": 7})),
+        ("A", "2", j({"user_ip": "10.0.0.2", "pages": "1,003", "seed": {"url": "https://a.test/", "depth": 2}, "t": "x", "js": "no"})),
+        ("A", "2", '{"broken copy"'),
+        ("B", "1", j({"ip": "10.0.0.3", "user_ip": "10.0.0.4", "pages": 7, "js": "perhaps"})),
+        ("B", "2", '{"pages"'),
+        ("B", "3", j({"ip": None, "pages": 2**70, "deep": {"a": {"b": [{"c": 1}]}}})),
+    ]
+    got = {(r.folder, r.file_name): r for r in schema_drift.consistent_table(crawls(spark, rows)).collect()}
+    assert len(got) == 5 and got["A", "2"].copies == 2 and got["A", "2"].valid and not got["B", "2"].valid
+    assert [got[k].ip for k in [("A", "1"), ("A", "2"), ("B", "1")]] == ["10.0.0.1", "10.0.0.2", "10.0.0.3"]
+    assert got["B", "1"].user_ip == "10.0.0.4"  # a file that holds both loses neither
+    assert [got[k].pages for k in [("A", "1"), ("A", "2"), ("B", "3")]] == [3.0, 1003.0, float(2**70)]
+    assert got["A", "1"].seed == got["A", "2"].seed == "https://a.test/" and got["A", "2"].seed__depth == 2
+    assert got["A", "1"].t__list == ["x", "1"] and got["A", "2"].t == "x"
+    assert [got[k].js for k in [("A", "1"), ("A", "2"), ("B", "1")]] == [True, False, None] and got["B", "1"].js__text == "perhaps"
+    assert got["A", "1"].copies_ == 7 and json.loads(got["B", "3"].deep__a__b__list[0]) == {"c": 1}
+    assert schema_drift.consistent_table(crawls(spark, rows).limit(0)).columns == ["folder", "file_name", "copies", "valid"]
 
 
 def test_change_report_counts_exactly(spark):
