@@ -2,35 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seamark.functions.page_key import key_host, page_key
-from seamark.plans.skew import hot_split_join, lookup_join
+from seamark.plans.skew import BROADCAST_ROWS, hot_split_join, lookup_join
 from seamark.session import cut
 
 #: Statuses of a page that is gone.
 GONE = (404, 410)
-#: Reference columns that stand for the record itself: what refers to an orphan through one of them is an orphan too.
-CASCADE = ("canonical", "redirect_url")
-#: Stands for a crawl day that is null: before all others.
-NO_DAY = -(2**31)
 
 
-def references(pages: DataFrame, *keep: str) -> DataFrame:
-    """``page_id, crawl_id, crawl_day, url, ref_field, address, host``: each page's references as written, with the columns ``keep``.
+def references(pages: DataFrame) -> DataFrame:
+    """``page_id, crawl_id, crawl_day, url_key, ref_field, target_key``: one row a reference of a page, by page key.
 
-    Null addresses are no references. A row names a target once for each spelling it uses. ``host`` is the
-    page's own host if the address begins with one slash, which is read on it, and else null.
+    A page's references through one field that are spelled alike are one; null, empty and blank addresses are no
+    references. An address that begins with one slash is read on the page's own host.
     """
     one = lambda name: F.struct(F.lit(name).alias("ref_field"), F.col(name).alias("address"))
     links = F.transform(
         F.array_distinct(F.coalesce(F.col("internal_link_urls.target"), F.array().cast("array<string>"))),
         lambda t: F.struct(F.lit("internal_link_urls").alias("ref_field"), t.alias("address")),
     )
-    rows = pages.select("page_id", "crawl_id", "crawl_day", "url", *keep, F.explode(F.concat(F.array(one("canonical"), one("redirect_url")), links)).alias("r"))
-    own = F.when(F.col("r.address").rlike(r"(?U)^\s*/(?!/)"), key_host(page_key(F.col("url"))))
-    return rows.filter(F.col("r.address").isNotNull()).select("page_id", "crawl_id", "crawl_day", "url", *keep, "r.ref_field", "r.address", own.alias("host"))
+    said = F.filter(F.concat(F.array(one("canonical"), one("redirect_url")), links), lambda r: F.coalesce(r["address"], F.lit("")) != "")
+    rows = pages.select("page_id", "crawl_id", "crawl_day", page_key(F.col("url")).alias("url_key"), said.alias("said")).select("page_id", "crawl_id", "crawl_day", "url_key", F.explode("said").alias("r"))
+    return rows.select("page_id", "crawl_id", "crawl_day", "url_key", "r.ref_field", page_key(F.col("r.address"), key_host(F.col("url_key"))).alias("target_key"))
 
 
 def key_history(pages: DataFrame) -> DataFrame:
@@ -64,37 +60,26 @@ def resolve(demand: DataFrame, history: DataFrame) -> DataFrame:
     )
 
 
-def settled_spellings(refs: DataFrame, history: DataFrame, standing: bool = False) -> DataFrame:
-    """``address, host, crawl_day, n_refs, target_key, orphan_kind, there, target_day``: the verdict on every spelling of a day, cut from lineage.
+def record_id(key: Column, day: Column) -> Column:
+    """128-bit id of a record, which is a page key on a crawl day: keys travel and meet as numbers."""
+    return F.struct(F.xxhash64(key, day).alias("a"), F.xxhash64(F.lit("record"), day, key).alias("b"))
 
-    ``there`` and ``target_day`` tell, with ``standing`` only, that the page was there, and the day of its latest answer by then.
-    """
-    spelled = cut(refs.groupBy("address", "host", "crawl_day").agg(F.count(F.lit(1)).alias("n_refs")).withColumn("target_key", page_key(F.col("address"), F.col("host"))))
-    demand = spelled.groupBy("target_key", "crawl_day").agg(F.sum("n_refs").alias("n_refs"))
-    hosts = cut(history.select(key_host(F.col("key")).alias("key_host")).distinct().withColumn("host_known", F.lit(True)))
-    found = lookup_join(resolve(demand, history).withColumn("key_host", key_host(F.col("target_key"))), hosts, ["key_host"], "left")
-    told = F.col("host_known") & (F.col("target_key") != "") & (F.col("orphan_kind").isNotNull() | F.lit(standing))
-    verdicts = found.filter(told).select(F.col("target_key").alias("_k"), F.col("crawl_day").alias("_d"), "orphan_kind", F.col("orphan_kind").isNull().alias("there"), "target_day")
-    same = (F.col("target_key") == F.col("_k")) & F.col("crawl_day").eqNullSafe(F.col("_d"))
-    return cut(spelled.join(verdicts, same, "left").select("address", "host", "crawl_day", "n_refs", "target_key", "orphan_kind", F.coalesce("there", F.lit(False)).alias("there"), "target_day"))
-
-
-def direct_orphans(pages: DataFrame) -> DataFrame:
-    """``page_id, crawl_id, crawl_day, url_key, ref_field, target_key, orphan_kind``: references whose page is missing, late or deleted.
-
-    References to hosts of which there is no row do not count; blank addresses have the empty key, which is no
-    orphan. Spellings are counted per day first, so that keys are computed once for each spelling and day, and
-    references meet their verdict as written.
+
+def verdicts(refs: DataFrame, history: DataFrame) -> DataFrame:
+    """``target_key, crawl_day, n_refs, orphan_kind, record`` of every key referred to on a day, cut from lineage.
+
+    ``record`` is the record that a standing reference means: the latest of its own or an earlier day. Keys of hosts of which there is no row, and
+    the empty key, have no row: references to them do not count.
     """
-    refs = references(pages)
-    settled = settled_spellings(refs, key_history(pages)).drop("there", "target_day")
-    orphaned = hot_split_join(refs, settled, ["address", "host", "crawl_day"], "n_refs", keep=F.col("orphan_kind").isNotNull())
-    return orphaned.select("page_id", "crawl_id", "crawl_day", page_key(F.col("url")).alias("url_key"), "ref_field", "target_key", "orphan_kind")
+    demand = refs.groupBy("target_key", "crawl_day").agg(F.count(F.lit(1)).alias("n_refs")).filter("target_key <> ''")
+    hosts = cut(history.select(key_host(F.col("key")).alias("key_host")).distinct())
+    found = lookup_join(resolve(demand, history).withColumn("key_host", key_host(F.col("target_key"))), hosts, ["key_host"], "left_semi")
+    record = F.when(F.col("orphan_kind").isNull(), record_id(F.col("target_key"), F.col("target_day")))
+    return cut(found.select("target_key", "crawl_day", "n_refs", "orphan_kind", record.alias("record")))
 
 
 def orphaned_records(edges: DataFrame, first: DataFrame) -> DataFrame:
-    """``key, day, level``: the records ``first`` (``key, day``) at level 0, and those that refer to them over n ``edges``
-    (``key, day, target_key, target_day``, no nulls).
+    """``record, level``: the records ``first`` (``record``) at level 0, and those that refer to them over n ``edges`` (``record, target``).
 
     A fixpoint of semi-joins down the references until a round finds no new record. Each record is found
     once, so cycles end, however long the chains.
@@ -103,77 +88,62 @@ def orphaned_records(edges: DataFrame, first: DataFrame) -> DataFrame:
     done = frontier.withColumn("level", F.lit(0))
     while not frontier.isEmpty():
         level += 1
-        hit = lookup_join(edges, frontier.select(F.col("key").alias("target_key"), F.col("day").alias("target_day")), ["target_key", "target_day"], "left_semi")
-        frontier = cut(hit.select("key", "day").distinct().join(done, ["key", "day"], "left_anti"))
+        hit = lookup_join(edges, frontier.select(F.col("record").alias("target")), ["target"], "left_semi")
+        frontier = cut(hit.select("record").distinct().join(done, "record", "left_anti"))
         done = done.unionByName(frontier.withColumn("level", F.lit(level)))
         if level % 16 == 0:
             done = cut(done)  # keeps the plan short on long chains
     return done
 
 
-def orphan_cascade(pages: DataFrame) -> DataFrame:
-    """Every orphan reference with ``level``: 0 for direct ones, n for those inherited over n references.
+def _bound(refs: DataFrame, told: DataFrame) -> DataFrame:
+    """References with what is told of their key and day (unique, with ``n_refs``): broadcast if few were counted, else split by hot keys."""
+    if told.count() <= BROADCAST_ROWS:
+        return refs.join(F.broadcast(told.drop("n_refs")), (refs["target_key"] == told["target_key"]) & refs["crawl_day"].eqNullSafe(told["crawl_day"])).select(refs["*"], *(c for c in told.columns if c not in ("target_key", "crawl_day", "n_refs")))
+    return hot_split_join(refs, told, ["target_key", "crawl_day"], "n_refs").drop("n_refs")
+
+
+class Cascade:
+    """The settled cascade over a table of pages: which keys are orphans on which days, direct or inherited.
 
     A record is a page key on a crawl day. It is orphaned if any of its references, in any of the three
     fields, is a direct orphan or leads to an orphaned record; every reference to an orphaned record is
-    ``inherited``, whatever else its page refers to. As for direct orphans, a reference means the latest
-    record of its own or an earlier day, of whatever crawl. What a record refers to on itself does not count.
-    ``crawl_day`` null is a day before all others; an empty table gives no rows.
+    ``inherited``, whatever else its page refers to. A reference means the latest record of its own or an
+    earlier day, of whatever crawl. What a record refers to on itself hands nothing on.
+    ``crawl_day`` null is a day before all others; an empty table has no orphans.
+
+    ``told`` is ``target_key, crawl_day, n_refs, orphan_kind, level``: missing, late and deleted at level 0, inherited over n
+    references at level n; cut from its lineage.
     """
-    day = lambda c: F.coalesce(F.unix_date(c), F.lit(NO_DAY))
-    spelling = ["address", "host", "crawl_day"]
-    refs = references(pages.withColumn("url_key", page_key(F.col("url"))), "url_key")
-    settled = settled_spellings(refs, key_history(pages), standing=True).withColumn("target_day", day("target_day"))
-    direct, other = F.col("orphan_kind").isNotNull(), F.col("target_key") != F.col("url_key")
-    linked = hot_split_join(refs, settled, spelling, "n_refs", keep=direct | F.col("there")).filter(direct | other)
-    graph = cut(linked.select(F.col("url_key").alias("key"), day("crawl_day").alias("day"), F.when(~direct, F.col("target_key")).alias("target_key"), F.when(~direct, F.col("target_day")).alias("target_day")).distinct())
-    records = orphaned_records(graph.filter("target_key IS NOT NULL"), graph.filter("target_key IS NULL").select("key", "day"))
-    named = records.select(F.col("key").alias("target_key"), F.col("day").alias("target_day"), F.lit(True).alias("there"), (F.col("level") + 1).alias("_up"))
-    told = settled.join(named, ["target_key", "target_day", "there"], "left").select(
-        *spelling, "n_refs", "target_key", F.when(direct, F.col("orphan_kind")).when(F.col("_up").isNotNull(), "inherited").alias("orphan_kind"), F.when(direct, F.lit(0)).otherwise(F.col("_up")).alias("level")
-    )
-    found = hot_split_join(refs, cut(told), spelling, "n_refs", keep=direct).filter((F.col("level") == 0) | other)
-    return found.select("page_id", "crawl_id", "crawl_day", "url_key", "ref_field", "target_key", "orphan_kind", "level")
 
+    def __init__(self, pages: DataFrame):
+        self.refs = references(pages)
+        settled = verdicts(self.refs, key_history(pages))
+        linked = hot_split_join(self.refs.select("target_key", "crawl_day", record_id(F.col("url_key"), F.col("crawl_day")).alias("own")), settled, ["target_key", "crawl_day"], "n_refs")
+        graph = cut(linked.filter("orphan_kind IS NOT NULL OR record <> own").select(F.col("own").alias("record"), F.col("record").alias("target")).distinct())
+        records = orphaned_records(graph.filter("target IS NOT NULL"), graph.filter("target IS NULL").select("record").distinct())
+        inherited = settled.join(records, "record", "left").select(
+            "target_key", "crawl_day", "n_refs", F.coalesce("orphan_kind", F.when(F.col("level").isNotNull(), "inherited")).alias("orphan_kind"), F.when(F.col("orphan_kind").isNotNull(), F.lit(0)).otherwise(F.col("level") + 1).alias("level")
+        )
+        self.told = cut(inherited.filter("orphan_kind IS NOT NULL"))
 
-def orphan_references(pages: DataFrame, cascade: tuple[str, ...] = CASCADE, max_rounds: int = 1000) -> DataFrame:
-    """Direct orphan references (``level`` 0), and each page's nearest ones inherited through ``cascade`` within its crawl.
+    def orphans(self, direct_only: bool = False) -> DataFrame:
+        """``page_id, crawl_id, crawl_day, url_key, ref_field, target_key, orphan_kind, level``: every orphan reference, or those of level 0."""
+        found = _bound(self.refs, self.told.filter("level = 0") if direct_only else self.told)
+        return found.filter("level = 0 OR target_key <> url_key")
 
-    The narrow form; ``orphan_cascade`` has every inherited reference. Fixpoint cascade: a row whose ``canonical`` or ``redirect_url`` is an orphan is an orphaned
-    record; within its crawl, every row that refers to that record through one of the ``cascade``
-    columns inherits (``orphan_kind`` is ``inherited``), and so on by semi-joins down the references
-    until a round finds nothing new. Each page is orphaned once, so cycles end. ``crawl_day`` null is
-    a day before all others; an empty table gives no rows.
-    """
-    direct = cut(direct_orphans(pages).withColumn("level", F.lit(0)))
-    cols = ["page_id", "crawl_id", "crawl_day", "url_key", "ref_field", "target_key", "orphan_kind", "level"]
-    few = pages if "internal_link_urls" in cascade else pages.withColumn("internal_link_urls", F.lit(None).cast(pages.schema["internal_link_urls"].dataType))
-    keyed = references(few).filter(F.col("ref_field").isin(*cascade)).select(
-        "page_id", "crawl_id", "crawl_day", page_key(F.col("url")).alias("url_key"), "ref_field", page_key(F.col("address"), F.col("host")).alias("target_key")
-    )
-    edges = cut(keyed.filter(F.col("target_key") != F.col("url_key")))
-    frontier = direct.filter(F.col("ref_field").isin(*cascade)).select("page_id", "crawl_id", "url_key").distinct()
-    done, found = frontier.select("page_id"), [direct.select(*cols)]
-    for level in range(1, max_rounds + 1):
-        keys = frontier.select("crawl_id", F.col("url_key").alias("target_key")).distinct()
-        hit = edges.join(keys, ["crawl_id", "target_key"], "left_semi").join(done, "page_id", "left_anti")
-        new = cut(hit.select(*cols[:6]).withColumn("orphan_kind", F.lit("inherited")).withColumn("level", F.lit(level)))
-        if new.isEmpty():
-            break
-        found.append(new.select(*cols))
-        frontier = new.select("page_id", "crawl_id", "url_key").distinct()
-        done = done.unionByName(frontier.select("page_id"))
-    out = found[0]
-    for part in found[1:]:
-        out = out.unionByName(part)
-    return out
-
-
-def orphan_report(orphans: DataFrame) -> DataFrame:
-    """``ref_field, month, orphan_kind, level, refs, targets``: orphan references per field and month of crawl_day."""
-    return (
-        orphans.groupBy("ref_field", F.date_format("crawl_day", "yyyy-MM").alias("month"), "orphan_kind", "level", "target_key")
-        .agg(F.count(F.lit(1)).alias("refs"))
-        .groupBy("ref_field", "month", "orphan_kind", "level")
-        .agg(F.sum("refs").alias("refs"), F.count(F.lit(1)).alias("targets"))
-    )
+    def report(self) -> DataFrame:
+        """``ref_field, month, orphan_kind, level, refs, targets``: orphan references per field and month of crawl_day, and how many targets they name.
+
+        References are counted by key and day before they meet what is told of them.
+        """
+        per = self.refs.groupBy("target_key", "crawl_day", "ref_field", (F.col("target_key") == F.col("url_key")).alias("own")).agg(F.count(F.lit(1)).alias("refs"))
+        same = (per["target_key"] == self.told["target_key"]) & per["crawl_day"].eqNullSafe(self.told["crawl_day"])
+        found = per.join(self.told, same).filter("level = 0 OR NOT own").select("ref_field", F.date_format(per["crawl_day"], "yyyy-MM").alias("month"), "orphan_kind", "level", per["target_key"], "refs")
+        by = ["ref_field", "month", "orphan_kind", "level"]
+        return found.groupBy(*by, "target_key").agg(F.sum("refs").alias("refs")).groupBy(*by).agg(F.sum("refs").alias("refs"), F.count(F.lit(1)).alias("targets"))
+
+
+def orphan_cascade(pages: DataFrame) -> DataFrame:
+    """Every orphan reference with ``level``: 0 for direct ones, n for those inherited over n references; see Cascade."""
+    return Cascade(pages).orphans()

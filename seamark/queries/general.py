@@ -56,12 +56,12 @@ def p5_redirect_chain(spark, d):
 
 
 def p6_found(spark, d):
-    found = orphans.orphan_references(_pages(spark, d)).filter("level = 0")
+    found = orphans.Cascade(_pages(spark, d)).orphans(direct_only=True)
     return found.select("page_id", "ref_field", "target_key", "orphan_kind").distinct()
 
 
 def p6_report(spark, d):
-    return orphans.orphan_report(orphans.orphan_cascade(_pages(spark, d)))
+    return orphans.Cascade(_pages(spark, d)).report()
 
 
 QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p1_table": p1_table, "p5_found": p5_found, "p5_pages": p5_pages, "p5_redirect_chain": p5_redirect_chain, "p2_found": p2_found, "p2_targets": p2_targets, "p2_sites": p2_sites, "p4_found": p4_found, "p6_found": p6_found, "p6_report": p6_report}
@@ -139,4 +139,20 @@ ORACLES = {
             LEFT JOIN f ON r.target_key = f.url_key WHERE {_HOST.format('r.target_key')} IN (SELECT host FROM p))
         SELECT DISTINCT page_id, ref_field, target_key, CASE WHEN first_day IS NULL THEN 'missing' WHEN gone IS NULL THEN 'late' ELSE 'deleted' END AS orphan_kind
         FROM j WHERE first_day IS NULL OR gone IS NULL OR gone""",
+    "p6_report": f"""
+        WITH RECURSIVE p AS MATERIALIZED (SELECT *, {_HOST.format('url_key')} AS host, coalesce(crawl_day, DATE '0001-01-01') AS day FROM ({_KEYED})),
+        a AS (SELECT page_id, day, url_key, host, 'internal_link_urls' AS ref_field, unnest(list_distinct(list_transform(internal_link_urls, lambda e: e.target))) AS address FROM p
+            UNION ALL SELECT page_id, day, url_key, host, 'canonical', canonical FROM p UNION ALL SELECT page_id, day, url_key, host, 'redirect_url', redirect_url FROM p),
+        r AS MATERIALIZED (SELECT page_id, day, url_key, ref_field, {page_key_sql('address', 'host')} AS target_key FROM a WHERE address <> ''),
+        h AS (SELECT url_key, day, bool_and(coalesce(status_code IN (404, 410), false)) AS gone FROM p GROUP BY ALL),
+        f AS (SELECT DISTINCT url_key FROM h),
+        j AS MATERIALIZED (SELECT r.*, h.day AS target_day, CASE WHEN f.url_key IS NULL THEN 'missing' WHEN h.gone IS NULL THEN 'late' WHEN h.gone THEN 'deleted' END AS kind
+            FROM r ASOF LEFT JOIN h ON r.target_key = h.url_key AND r.day >= h.day LEFT JOIN f ON r.target_key = f.url_key
+            WHERE target_key <> '' AND {_HOST.format('r.target_key')} IN (SELECT host FROM p)),
+        e AS MATERIALIZED (SELECT DISTINCT url_key, day, target_key, target_day FROM j WHERE kind IS NULL AND (target_key, target_day) <> (url_key, day)),
+        o(k, d, n) USING KEY (k, d) AS (SELECT DISTINCT url_key, day, 0 FROM j WHERE kind IS NOT NULL
+            UNION SELECT DISTINCT e.url_key, e.day, o.n + 1 FROM o JOIN e ON e.target_key = o.k AND e.target_day = o.d WHERE (e.url_key, e.day) NOT IN (SELECT (k, d) FROM recurring.o)),
+        t AS (SELECT j.*, coalesce(kind, 'inherited') AS orphan_kind, CASE WHEN kind IS NULL THEN n + 1 ELSE 0 END AS level FROM j LEFT JOIN o ON kind IS NULL AND k = target_key AND d = target_day
+            WHERE kind IS NOT NULL OR (n IS NOT NULL AND target_key <> url_key))
+        SELECT ref_field, CASE WHEN day > DATE '0001-01-01' THEN strftime(day, '%Y-%m') END AS month, orphan_kind, CAST(level AS INT) AS level, count(*) AS refs, count(DISTINCT target_key) AS targets FROM t GROUP BY 1, 2, 3, 4""",
 }

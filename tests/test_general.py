@@ -361,24 +361,27 @@ def test_orphans(spark):
         {"page_id": 8, "crawl_day": None, "url": u("d"), "canonical": u("a"), "status_code": None},
         {"page_id": 9, "crawl_day": d(2), "url": None, "canonical": " "},
     ]
-    got = {(r.page_id, r.ref_field, r.target_key, r.orphan_kind, r.level) for r in orphans.orphan_references(pages(spark, rows)).collect()}
+    got = {(r.page_id, r.ref_field, r.target_key, r.orphan_kind, r.level) for r in orphans.orphan_cascade(pages(spark, rows)).collect()}
     assert got == {
         (1, "canonical", "s.test/gone", "deleted", 0), (1, "redirect_url", "s.test/late", "late", 0), (1, "internal_link_urls", "s.test/missing", "missing", 0),
         (8, "canonical", "s.test/a", "late", 0), (6, "canonical", "s.test/a", "inherited", 1), (7, "redirect_url", "s.test/b", "inherited", 2),
     }
-    assert orphans.orphan_references(pages(spark, rows).limit(0)).count() == 0
+    direct = {(r.page_id, r.ref_field) for r in orphans.Cascade(pages(spark, rows)).orphans(direct_only=True).collect()}
+    assert direct == {(p, f) for p, f, _, _, level in got if level == 0}
+    assert orphans.orphan_cascade(pages(spark, rows).limit(0)).count() == 0
+    assert orphans.Cascade(pages(spark, rows).limit(0)).report().count() == 0
 
 
 def test_orphan_cycle_ends(spark):
     u = lambda p: f"http://s.test/{p}"
     rows = [{"page_id": 1, "url": u("a"), "canonical": u("b"), "redirect_url": u("none")}, {"page_id": 2, "url": u("b"), "canonical": u("a")}]
-    got = {(r.page_id, r.ref_field, r.level) for r in orphans.orphan_references(pages(spark, rows)).collect()}
-    assert got == {(1, "redirect_url", 0), (2, "canonical", 1)}
+    got = {(r.page_id, r.ref_field, r.level) for r in orphans.orphan_cascade(pages(spark, rows)).collect()}
+    assert got == {(1, "redirect_url", 0), (1, "canonical", 2), (2, "canonical", 1)}
 
 
 def test_orphan_report(spark):
     rows = [{"page_id": i, "url": f"http://s.test/{i}", "canonical": "http://s.test/none"} for i in range(3)]
-    got = orphans.orphan_report(orphans.orphan_references(pages(spark, rows))).collect()
+    got = orphans.Cascade(pages(spark, rows)).report().collect()
     assert [(r.ref_field, r.month, r.orphan_kind, r.refs, r.targets) for r in got] == [("canonical", "2031-01", "missing", 3, 1)]
 
 
@@ -403,6 +406,18 @@ def test_orphan_cascade_over_all_fields_and_crawls(spark):
     assert orphans.orphan_cascade(pages(spark, rows).limit(0)).count() == 0
 
 
+def test_every_reference_to_an_orphan_is_reported(spark):
+    u = lambda p: f"http://s.test/{p}"
+    rows = [
+        {"page_id": 1, "url": u(1), "canonical": u("none")},
+        {"page_id": 2, "url": u(2), "canonical": u(1)},
+        {"page_id": 3, "url": u(3), "canonical": u(1), "redirect_url": u(2)},
+        {"page_id": 4, "url": u(4), "canonical": u("none"), "redirect_url": u(1)},
+    ]
+    got = {(r.page_id, r.ref_field, r.orphan_kind, r.level) for r in orphans.orphan_cascade(pages(spark, rows)).collect()}
+    assert got == {(1, "canonical", "missing", 0), (2, "canonical", "inherited", 1), (3, "canonical", "inherited", 1), (3, "redirect_url", "inherited", 2), (4, "canonical", "missing", 0), (4, "redirect_url", "inherited", 1)}
+
+
 def test_orphan_cascade_against_plain_loop(spark):
     rng = random.Random(8)
     url = lambda: f"http://s.test/{rng.randrange(60)}"
