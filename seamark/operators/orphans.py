@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from seamark.functions.page_key import key_host, page_key
 from seamark.plans.skew import BROADCAST_ROWS, hot_split_join, lookup_join
-from seamark.session import cut
+from seamark.session import cut, cut_table
 
 #: Statuses of a page that is gone.
 GONE = (404, 410)
+#: Most record ids (16 bytes each) that are broadcast after they were counted.
+BROADCAST_IDS = 500_000
 
 
 def references(pages: DataFrame) -> DataFrame:
@@ -71,7 +73,7 @@ def verdicts(refs: DataFrame, history: DataFrame) -> DataFrame:
     ``record`` is the record that a standing reference means: the latest of its own or an earlier day. Keys of hosts of which there is no row, and
     the empty key, have no row: references to them do not count.
     """
-    demand = refs.groupBy("target_key", "crawl_day").agg(F.count(F.lit(1)).alias("n_refs")).filter("target_key <> ''")
+    demand = refs.filter("target_key <> ''").groupBy("target_key", "crawl_day").agg(F.count(F.lit(1)).alias("n_refs"))
     hosts = cut(history.select(key_host(F.col("key")).alias("key_host")).distinct())
     found = lookup_join(resolve(demand, history).withColumn("key_host", key_host(F.col("target_key"))), hosts, ["key_host"], "left_semi")
     record = F.when(F.col("orphan_kind").isNull(), record_id(F.col("target_key"), F.col("target_day")))
@@ -88,7 +90,7 @@ def orphaned_records(edges: DataFrame, first: DataFrame) -> DataFrame:
     done = frontier.withColumn("level", F.lit(0))
     while not frontier.isEmpty():
         level += 1
-        hit = lookup_join(edges, frontier.select(F.col("record").alias("target")), ["target"], "left_semi")
+        hit = lookup_join(edges, frontier.select(F.col("record").alias("target")), ["target"], "left_semi", rows=BROADCAST_IDS)
         frontier = cut(hit.select("record").distinct().join(done, "record", "left_anti"))
         done = done.unionByName(frontier.withColumn("level", F.lit(level)))
         if level % 16 == 0:
@@ -117,10 +119,10 @@ class Cascade:
     """
 
     def __init__(self, pages: DataFrame):
-        self.refs = references(pages)
+        self.refs = cut_table(references(pages))
         settled = verdicts(self.refs, key_history(pages))
-        linked = hot_split_join(self.refs.select("target_key", "crawl_day", record_id(F.col("url_key"), F.col("crawl_day")).alias("own")), settled, ["target_key", "crawl_day"], "n_refs")
-        graph = cut(linked.filter("orphan_kind IS NOT NULL OR record <> own").select(F.col("own").alias("record"), F.col("record").alias("target")).distinct())
+        linked = _bound(self.refs.select("target_key", "crawl_day", record_id(F.col("url_key"), F.col("crawl_day")).alias("own")), settled)
+        graph = cut_table(linked.filter("orphan_kind IS NOT NULL OR record <> own").select(F.col("own").alias("record"), F.col("record").alias("target")))
         records = orphaned_records(graph.filter("target IS NOT NULL"), graph.filter("target IS NULL").select("record").distinct())
         inherited = settled.join(records, "record", "left").select(
             "target_key", "crawl_day", "n_refs", F.coalesce("orphan_kind", F.when(F.col("level").isNotNull(), "inherited")).alias("orphan_kind"), F.when(F.col("orphan_kind").isNotNull(), F.lit(0)).otherwise(F.col("level") + 1).alias("level")

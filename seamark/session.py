@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,6 +50,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_table(df: DataFrame) -> DataFrame:
+    """As ``cut``, but written by column to a table in the shared checkpoint folder: compact, and later reads take only the columns they need.
+
+    Keeps neither partitions nor order. The table is removed when the driver's Python ends.
+    """
+    spark = df.sparkSession
+    at = f"{checkpoint_dir(spark)}/table-{uuid.uuid4()}"
+    df.write.parquet(at)
+    atexit.register(_remove, spark, at)
+    return spark.read.schema(df.schema).parquet(at)
+
+
+def _remove(spark: SparkSession, at: str) -> None:
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001 - the session, and with it perhaps the folder, is already gone
+        pass
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` with at least a partition a core, for stages that run Python on every row.
 
