@@ -16,6 +16,9 @@ PORTS = "80|443"
 
 #: Addresses of the commonest shape: their key is what remains without scheme and last slash.
 PLAIN = r"^https?://(?!www\.)[a-z0-9.\-]++(?:/[a-z0-9_.~\-]++)*+/?\z"
+#: Addresses without query, fragment, escapes, blanks and repeated slashes, in any letter case, of which a key is cut in one step.
+SIMPLE = r"(?i)^https?://[a-z0-9.\-]++(?::(?:80|443))?(?:/[a-z0-9_.~\-\x{C0}-\x{24F}]++)*+/?\z"
+UNDRESS = r"(?i)^https?://(?:www\.)?|:(?:80|443)(?=/|\z)|/\z"
 
 
 def unescape(c: Column) -> Column:
@@ -45,7 +48,7 @@ def page_key(address: Column, own_host: Column | None = None) -> Column:
     kept = F.filter(F.transform(parts, lambda x: F.lower(unescape(x))), lambda x: (x != "") & ~x.rlike(TRACKING))
     query = F.regexp_replace(F.array_join(F.array_sort(kept), "&"), r"(?s)^(?=.)", "?")
     slow = F.concat(base, F.when(raw.contains("?"), query).otherwise(""))
-    return F.when(raw.rlike(PLAIN), F.regexp_replace(raw, r"^https?://|/\z", "")).otherwise(slow)
+    return F.when(raw.rlike(PLAIN), F.regexp_replace(raw, r"^https?://|/\z", "")).when(raw.rlike(SIMPLE), F.lower(F.regexp_replace(raw, UNDRESS, ""))).otherwise(slow)
 
 
 def key_host(key: Column) -> Column:

@@ -26,8 +26,9 @@ def references(pages: DataFrame) -> DataFrame:
         F.array_distinct(F.coalesce(F.col("internal_link_urls.target"), F.array().cast("array<string>"))),
         lambda t: F.struct(F.lit("internal_link_urls").alias("ref_field"), t.alias("address")),
     )
-    said = F.filter(F.concat(F.array(one("canonical"), one("redirect_url")), links), lambda r: F.coalesce(r["address"], F.lit("")) != "")
-    rows = pages.select("page_id", "crawl_id", "crawl_day", page_key(F.col("url")).alias("url_key"), said.alias("said")).select("page_id", "crawl_id", "crawl_day", "url_key", F.explode("said").alias("r"))
+    # explode_outer, as explode would have the list computed once more to tell whether it is empty
+    each = F.explode_outer(F.concat(F.array(one("canonical"), one("redirect_url")), links))
+    rows = pages.select("page_id", "crawl_id", "crawl_day", page_key(F.col("url")).alias("url_key"), each.alias("r")).filter("r.address <> ''")
     return rows.select("page_id", "crawl_id", "crawl_day", "url_key", "r.ref_field", page_key(F.col("r.address"), key_host(F.col("url_key"))).alias("target_key"))
 
 
