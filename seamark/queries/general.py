@@ -47,12 +47,28 @@ def p5_found(spark, d):
     return nested.page_children(table(spark, d, "page_records"))
 
 
+def _flat(spark, d, name):
+    kind, members = nested.TABLES[name]
+    return nested.flat_table(nested.node_table(table(spark, d, "page_records"), ("results", kind, *(f"{kind}.{m}" for m in members))), name)
+
+
 def p5_pages(spark, d):
-    return nested.flat_tables(cut(nested.node_table(table(spark, d, "page_records"))))["pages"]
+    return _flat(spark, d, "pages").select("rec_id", "page_pos", "url", "status_code", "title")
 
 
 def p5_redirect_chain(spark, d):
-    return nested.flat_tables(cut(nested.node_table(table(spark, d, "page_records"))))["redirect_chain"]
+    return _flat(spark, d, "redirect_chain").select("rec_id", "page_pos", "pos", F.coalesce("url", "value").alias("url"), "status")
+
+
+def p5_perf(spark, d):
+    return _flat(spark, d, "perf").select("rec_id", "page_pos", *nested.TABLES["perf"][1])
+
+
+def p5_nodes(spark, d):
+    """How many nodes of each type there are, how many of them lie in a parent's interval, and under how many parents."""
+    tied = nested.with_parents(nested.node_table(table(spark, d, "page_records")))
+    per = tied.groupBy("node_type", "rec_id", "parent_pre").agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy("node_type").agg(F.sum("n").alias("nodes"), F.sum(F.when(F.col("parent_pre").isNotNull(), F.col("n")).otherwise(0)).alias("held"), F.count_if(F.col("parent_pre").isNotNull()).alias("parents"))
 
 
 def p6_found(spark, d):
@@ -64,7 +80,7 @@ def p6_report(spark, d):
     return orphans.Cascade(_pages(spark, d)).report()
 
 
-QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p1_table": p1_table, "p5_found": p5_found, "p5_pages": p5_pages, "p5_redirect_chain": p5_redirect_chain, "p2_found": p2_found, "p2_targets": p2_targets, "p2_sites": p2_sites, "p4_found": p4_found, "p6_found": p6_found, "p6_report": p6_report}
+QUERIES = {"p1_found": p1_found, "p1_report": p1_report, "p1_table": p1_table, "p5_found": p5_found, "p5_pages": p5_pages, "p5_redirect_chain": p5_redirect_chain, "p5_perf": p5_perf, "p5_nodes": p5_nodes, "p2_found": p2_found, "p2_targets": p2_targets, "p2_sites": p2_sites, "p4_found": p4_found, "p6_found": p6_found, "p6_report": p6_report}
 
 _ENTRIES = f"SELECT crawl_day, e.placement AS placement, {page_key_sql('e.target')} AS k FROM (SELECT crawl_day, unnest(internal_link_urls) AS e FROM page_audit) WHERE e IS NOT NULL"
 _KEYED = f"SELECT *, {page_key_sql('url')} AS url_key FROM page_audit"
@@ -85,11 +101,27 @@ def _each(src: str, cols: str, items: str) -> str:
     return f"SELECT {cols}, unnest(l) AS v, unnest(range(0, len(l))) AS pos FROM (SELECT {cols}, {items} AS l FROM {src})"
 
 
+_RECORDS = f"""r AS MATERIALIZED (SELECT rec_id, TRY_CAST(payload AS JSON) AS j FROM (SELECT rec_id, max(struct_pack(t := loaded_at, p := payload)).p AS payload FROM page_records GROUP BY rec_id) WHERE json_valid(payload) AND json_type(payload) = 'OBJECT'),
+        p AS MATERIALIZED (SELECT rec_id, CAST(pos AS INT) AS page_pos, {_said('v')} AS page FROM ({_each('r', 'rec_id', _listed("json_extract(j, '$.results')"))}) WHERE json_type(v) <> 'NULL'),
+        q AS MATERIALIZED (SELECT *, {_said("json_extract(page, '$.perf')")} AS perf FROM p)"""
+_TEXT = "CASE WHEN json_type({0}) NOT IN ('OBJECT', 'ARRAY', 'NULL') THEN {0} ->> '$' END"
+
+
+def _field(j: str, name: str, kind: str = "VARCHAR") -> str:
+    return f"TRY_CAST({_TEXT.format(f'json_extract({j}, {chr(39)}$.{name}{chr(39)})')} AS {kind}) AS {name}"
+
+
+_PERF = ", ".join(_field("perf", n, "DOUBLE") for n in nested.TABLES["perf"][1])
+_OBJECT = "CASE WHEN json_type({0}) = 'OBJECT' THEN {0} ELSE CAST('{{}}' AS JSON) END"
+
 ORACLES = {
+    "p5_pages": f"WITH {_RECORDS} SELECT rec_id, page_pos, {_field('page', 'url')}, {_field('page', 'status_code', 'INT')}, {_field('page', 'title')} FROM p",
+    "p5_redirect_chain": f"""
+        WITH {_RECORDS} SELECT rec_id, page_pos, CAST(pos AS INT) AS pos, CASE WHEN json_type(v) = 'OBJECT' THEN {_TEXT.format("json_extract(v, '$.url')")} ELSE {_TEXT.format('v')} END AS url, {_field('v', 'status', 'INT')}
+        FROM ({_each('q', 'rec_id, page_pos', _listed("json_extract(page, '$.redirect_chain')"))}) WHERE json_type(v) <> 'NULL'""",
+    "p5_perf": f"WITH {_RECORDS} SELECT rec_id, page_pos, {_PERF} FROM q WHERE json_type(perf) <> 'NULL'",
     "p5_found": f"""
-        WITH r AS MATERIALIZED (SELECT rec_id, TRY_CAST(payload AS JSON) AS j FROM (SELECT rec_id, max(struct_pack(t := loaded_at, p := payload)).p AS payload FROM page_records GROUP BY rec_id) WHERE json_valid(payload) AND json_type(payload) = 'OBJECT'),
-        p AS MATERIALIZED (SELECT rec_id, CAST(pos AS INT) AS page_pos, {_said('v')} AS page FROM ({_each('r', 'rec_id', _listed("json_extract(j, '$.results')"))}) WHERE json_type(v) <> 'NULL'),
-        q AS MATERIALIZED (SELECT *, {_said("json_extract(page, '$.perf')")} AS perf FROM p),
+        WITH {_RECORDS},
         c AS (
          SELECT rec_id, page_pos, 'redirect_chain' AS child_name, v, pos FROM ({_each('q', 'rec_id, page_pos', _listed("json_extract(page, '$.redirect_chain')"))})
          UNION ALL SELECT rec_id, page_pos, 'hreflang', v, pos FROM ({_each('q', 'rec_id, page_pos', _listed("json_extract(page, '$.hreflang')"))})

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from seamark.functions import detect, html_page, robots, scoring, text, urls
 from seamark.operators import audit, compare, duplicates, extract, keywords, links, nested, reports, sitemap
-from seamark.queries import sql
+from seamark.queries import general, sql
 from seamark.sources import sinks
 from seamark.session import cut, spread, table
 from seamark.streaming import crawl as streams
@@ -251,31 +251,45 @@ def robots_decisions(spark, d):
 # ---- nested reports ----
 
 
-@query()
+_HREFLANG = "json_extract(page, '$.hreflang')"
+_DECLARED = f"WITH {general._RECORDS}, d AS (SELECT {general._field('page', 'url')}, {general._field('v', 'lang')}, {general._field('v', 'href')} FROM ({general._each('q', 'rec_id, page_pos, page', general._listed(_HREFLANG))}) WHERE json_type(v) <> 'NULL')"
+
+
+@query(
+    f"""{_DECLARED}, l AS (SELECT * FROM d WHERE coalesce(lang, '') <> ''),
+    t AS (SELECT DISTINCT url, href FROM l WHERE lang <> 'x-default' AND href IS NOT NULL)
+    SELECT * FROM (SELECT 'invalid_code' AS kind, count(*) AS n FROM l WHERE NOT regexp_full_match(lang, 'x-default|[a-z]{{2,3}}(-[A-Z]{{2}})?')
+    UNION ALL SELECT 'dup_x_default', count(*) FROM (SELECT url FROM l WHERE lang = 'x-default' GROUP BY url HAVING count(*) > 1)
+    UNION ALL SELECT 'no_return_tag', count(*) FROM t WHERE href IN (SELECT url FROM l WHERE url IS NOT NULL) AND NOT EXISTS (SELECT 1 FROM l WHERE l.url = t.href AND l.href = t.url)) WHERE n > 0"""
+)
 def hreflang_issues(spark, d):
-    t = nested.flat_tables(cut(nested.node_table(table(spark, d, "page_records"))))
-    pages = t["pages"].select("rec_id", "page_pos", "url")
-    declared = t["hreflang"].join(pages, ["rec_id", "page_pos"]).select("url", "lang", "href")
+    nodes = cut(nested.node_table(table(spark, d, "page_records"), ("results", "results.url", "hreflang", "hreflang.lang", "hreflang.href")))
+    pages = nested.flat_table(nodes, "pages").select("rec_id", "page_pos", "url")
+    declared = nested.flat_table(nodes, "hreflang").join(pages, ["rec_id", "page_pos"]).select("url", "lang", "href")
     return links.hreflang_issues(declared).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+_RATED = f"WITH {general._RECORDS}, f AS (SELECT rec_id, page_pos, {general._PERF} FROM q WHERE json_type(perf) <> 'NULL')"
+_FAST = f"{_RATED}, w AS (SELECT rec_id, page_pos, load_time_s, ttfb_ms, html_kb, dom_nodes, list_filter([CASE WHEN load_time_s > 3 THEN 'Slow load' END, CASE WHEN ttfb_ms > 800 THEN 'High TTFB' END, CASE WHEN html_kb > 150 THEN 'Heavy HTML' END, CASE WHEN dom_nodes > 1500 THEN 'Large DOM' END], lambda x: x IS NOT NULL) AS warnings FROM f)"
+
+
+@query(f"{_FAST} SELECT count(*) AS pages, round(avg(load_time_s), 2) AS avg_load, round(avg(ttfb_ms), 0) AS avg_ttfb, round(avg(html_kb), 1) AS avg_kb, count_if(load_time_s > 3)::BIGINT AS slow, count_if(len(warnings) > 0)::BIGINT AS with_warnings, count_if(len(warnings) = 0)::BIGINT AS clean FROM w")
 def performance_totals(spark, d):
     """Speed figures of pages whose record has them."""
     return reports.performance_totals(_perf(spark, d))
 
 
 def _perf(spark, d):
-    each = "array<struct<perf:string>>"
-    rows = table(spark, d, "page_records").groupBy("rec_id").agg(F.max(F.struct("loaded_at", "payload")).alias("m"))
-    pages = rows.select("rec_id", F.posexplode(F.from_json(F.get_json_object("m.payload", "$.results"), each)).alias("page_pos", "p"))
     names = ("load_time_s", "ttfb_ms", "html_kb", "dom_nodes")
-    out = pages.filter("p.perf IS NOT NULL").select("rec_id", "page_pos", *(F.expr(f"try_cast(get_json_object(p.perf, '$.{n}') as double)").alias(n) for n in names))
+    nodes = nested.node_table(table(spark, d, "page_records"), ("results", "results.perf", *(f"results.perf.{n}" for n in names)))
     cols = {n: F.col(n) for n in names}
-    return out.withColumn("warnings", scoring.speed_warnings(cols)).withColumn("score", scoring.speed_score(cols))
+    return nested.flat_table(nodes, "perf").select("rec_id", "page_pos", *names).withColumn("warnings", scoring.speed_warnings(cols)).withColumn("score", scoring.speed_score(cols))
 
 
-@query()
+@query(
+    f"""{_FAST} SELECT *, CAST(100 - CASE WHEN load_time_s > 3 THEN 20 ELSE 0 END - CASE WHEN ttfb_ms > 800 THEN 15 ELSE 0 END - CASE WHEN html_kb > 150 THEN 10 ELSE 0 END - CASE WHEN dom_nodes > 1500 THEN 10 ELSE 0 END AS INT) AS score
+    FROM w ORDER BY load_time_s DESC NULLS LAST, html_kb DESC NULLS LAST, rec_id, page_pos LIMIT 100"""
+)
 def slowest_pages(spark, d):
     return reports.slowest(_perf(spark, d))
 

@@ -327,21 +327,47 @@ def test_nested_shapes(spark):
     assert children(rec(spark, rows).limit(0)) == set()
 
 
+NESTED = {
+    "name": "n", "extra": {"a": [{"b": 1}, None, {"b": [2, [3]]}], "e": {}},
+    "results": [{"url": "u", "status_code": 200, "perf": {"score": 3, "deep": {"x": True}, "warnings": ["w"]}, "redirect_chain": ["x", {"url": "y", "status": 301, "headers": {"h": "1"}}], "og_tags": {"a": "b"}}, {"hreflang": [3], "title": None}],
+}
+
+
 def test_intervals_nest():
-    rows = nested.label_nodes("1", json.dumps({"results": [{"redirect_chain": [1, 2], "og_tags": {"a": "b"}}, {"hreflang": [3]}]}))
+    rows = nested.label_nodes("1", json.dumps(NESTED))
     marks = sorted(x for r in rows for x in r[1:3])
     assert marks == list(range(2 * len(rows)))
-    page = {r[5]: r for r in rows if r[4] == "results"}
     for r in rows:
-        if r[3] == 2:
-            inside = [p for p in page.values() if p[1] < r[1] and r[2] < p[2]]
-            assert len(inside) == 1
+        around = [p for p in rows if p[1] < r[1] and r[2] < p[2]]
+        assert sorted(p[3] for p in around) == list(range(r[3]))  # one ancestor a level
+    kinds = {(r[4], r[5], r[6]) for r in rows}
+    assert {("results.perf", "perf", None), ("results.perf.score", "score", "3"), ("results.perf.deep.x", "x", "true"), ("redirect_chain.headers.h", "h", "1"), ("record.extra.a", "2", None), ("record.extra.a.b", "0", "2"), ("record.extra.a.b[]", "0", "3"), ("record.extra.e", "e", None)} <= kinds
+    assert nested.label_nodes("1", json.dumps(NESTED), ("hreflang",)) == [r for r in rows if r[4] == "hreflang"]
+
+
+def test_parents_by_containment(spark):
+    nodes = nested.node_table(rec(spark, [(1, 0, json.dumps(NESTED)), (2, 0, json.dumps(NESTED)), (3, 0, '{"a": ' * 900 + "1" + "}" * 900)])).cache()
+    rows = nodes.collect()
+    by = {r.rec_id: [x for x in rows if x.rec_id == r.rec_id] for r in rows}
+    want = {(r.rec_id, r.pre): max((p.pre for p in by[r.rec_id] if p.pre < r.pre and r.post < p.post), default=None) for r in rows}
+    assert {(r.rec_id, r.pre): r.parent_pre for r in nested.with_parents(nodes).collect()} == want
+    tables = nested.type_tables(nodes.filter("rec_id < 3"))
+    assert [(r.rec_id, r.item_name, r.value) for r in tables["results.perf.score"].orderBy("rec_id").collect()] == [(1, "score", "3"), (2, "score", "3")]
+    assert nested.with_parents(nodes.limit(0)).count() == 0 and nested.type_tables(nodes.limit(0)) == {}
 
 
 def test_flat_tables(spark):
-    t = nested.flat_tables(nested.node_table(rec(spark, [(1, 0, json.dumps({"name": "n", "results": [{"url": "u", "status_code": 200, "redirect_chain": ["x", {"url": "y", "status": 301}]}]}))])))
-    assert t["pages"].select("url", "status_code").collect() == [("u", 200)]
-    assert t["redirect_chain"].select("pos", "url", "status").orderBy("pos").collect() == [(0, "x", None), (1, "y", 301)]
+    t = nested.flat_tables(nested.node_table(rec(spark, [(1, 0, json.dumps(NESTED))])))
+    assert t["records"].select("rec_id", "name", "saved_at").collect() == [(1, "n", None)]
+    assert t["pages"].select("page_pos", "url", "status_code").orderBy("page_pos").collect() == [(0, "u", 200), (1, None, None)]
+    assert t["perf"].select("page_pos", "score", "load_time_s").collect() == [(0, 3.0, None)]
+    assert t["redirect_chain"].select("page_pos", "pos", "url", "status", "value").orderBy("pos").collect() == [(0, 0, None, None, "x"), (0, 1, "y", 301, None)]
+    assert t["og_tags"].select("page_pos", "property", "value").collect() == [(0, "a", "b")]
+    assert t["hreflang"].select("page_pos", "pos", "href", "value").collect() == [(1, 0, None, "3")]
+    page = t["pages"].filter("page_pos = 0").first()
+    for name in ("perf", "redirect_chain", "og_tags", "warnings"):
+        assert all(page.pre < r.pre and r.post < page.post and (r.page_pre, r.page_post) == (page.pre, page.post) for r in t[name].collect())
+    assert t["third_party_hosts"].count() == 0
 
 
 # ---- p6 ----
