@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -254,6 +255,48 @@ def test_sections():
     assert subjects.sections(None) == [] and subjects.sections(" .\n") == []
 
 
+def plain_vote(found, lexicon, least, margin=1.0):
+    """The rule of a vote, term by term."""
+    score = {}
+    for t in dict.fromkeys(found):
+        if t in lexicon:
+            k, w = lexicon[t]
+            score[k] = score.get(k, 0.0) + w
+    best = sorted(score.items(), key=lambda x: (-x[1], x[0]))[:2]
+    if not best or best[0][1] < least or (len(best) > 1 and best[0][1] - best[1][1] < margin):
+        return 0
+    return best[0][0]
+
+
+def test_votes_and_sections_against_a_plain_loop():
+    rng, base = np.random.default_rng(4), 5
+    lexicon = {int(t): (int(rng.integers(0, base)), float(rng.choice([0.5, 1.0, 2.0, 4.0]))) for t in range(40)}
+    docs = [[[list(map(int, rng.integers(0, 60, rng.integers(1, 7)))) for _ in range(rng.integers(1, 5))] for _ in range(rng.integers(0, 4))] for _ in range(200)]
+    rows = pd.DataFrame({
+        "words": [[w for b in d for s in b for w in s] for d in docs], "lens": [[len(s) for b in d for s in b] for d in docs], "blocks": [[len(b) for b in d] for d in docs], "first": [[True for b in d for s in b] for d in docs],
+    })
+    c = subjects.Chunk(rows)
+    sentence, term = c.terms()
+    pair = lambda s: [int(x) for x in subjects.pair_ids(np.array(s[:-1], np.int64), np.array(s[1:], np.int64))]
+    lex = subjects.lexicon_of([(t, k, w) for t, (k, w) in lexicon.items()])
+    got = subjects.votes(c.sentences, sentence, term, lex, base, 1.5)
+    want = [plain_vote([*s, *pair(s)], lexicon, 1.5) for d in docs for b in d for s in b]
+    assert got.tolist() == want and len(set(want)) == base
+    around, at = [], 0
+    for d in docs:
+        own, start = want[at : at + sum(map(len, d))], 0
+        for b in d:
+            near = own if len(b) == 1 else own[start : start + len(b)]
+            for i in range(len(b)):
+                left = list(near)
+                left.pop((start if len(b) == 1 else 0) + i)
+                n = sorted(((left.count(k), k) for k in set(left) - {0}), reverse=True)
+                around.append(0 if not n or len(n) > 1 and n[0][0] == n[1][0] else n[0][1])
+            start += len(b)
+        at += len(own)
+    assert subjects._around(c, got, base).tolist() == around
+
+
 def test_label_model_learns_who_is_right():
     rng = np.random.default_rng(1)
     y = rng.integers(0, 4, 4000)
@@ -275,9 +318,11 @@ def test_another_tokenizer(spark):
 
 def test_lexicon_has_no_cap(spark, data):
     docs, labels, named = (spark.read.parquet(f"{data}/{n}.parquet") for n in ("documents", "subject_labels", "subjects"))
-    counts = spark.createDataFrame([("", k, 100.0) for k in (0, 1, 2)] + [(f"t{i}", 1 + i % 2, 9.0) for i in range(50)] + [("the", k, 90.0) for k in (0, 1, 2)], subjects._COUNTS).cache()
+    word = subjects.word_id
+    counts = spark.createDataFrame([(subjects.WHOLE, k, 100.0) for k in (0, 1, 2)] + [(word(f"t{i}"), 1 + i % 2, 9.0) for i in range(50)] + [(word("the"), k, 90.0) for k in (0, 1, 2)], subjects._COUNTS).cache()
     table = subjects.learned_lexicon(counts, 5, 0.75, broadcast=10)
-    assert {r.term: (r.subject, r.weight) for r in table.collect()} == subjects.learned_lexicon(counts, 5, 0.75) and table.count() == 50
+    small = subjects.learned_lexicon(counts, 5, 0.75)
+    assert {(r.term, r.subject, r.weight) for r in table.collect()} == set(zip(*(x.tolist() for x in small), strict=True)) and table.count() == 50
     got, size = [], "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(size)
     try:
