@@ -9,16 +9,23 @@ from seamark.session import table
 
 def p3_found(spark, d):
     pages = table(spark, d, "page_audit")
-    return residue.flagged(pages, residue.train(pages, every_host=True)).select("page_id").distinct()
+    return residue.residue_pages(pages).select("page_id").distinct()
 
 
 def p3_clean(spark, d):
     pages = table(spark, d, "page_audit")
-    found = residue.flagged(pages, residue.train(pages, every_host=True)).select("page_id").distinct()
+    found = residue.residue_pages(pages).select("page_id").distinct()
     good = pages.filter("status_code BETWEEN 200 AND 299").select("page_id", "crawl_id", "url", "title", "word_count")
     return good.join(found, "page_id", "left_anti")
 
 
+def p3_validation(spark, d):
+    """Figures on the weak labels of hosts that the classifier was not fitted on."""
+    kinds = residue.piece_table(table(spark, d, "page_audit"))
+    figures = residue.validate(kinds, residue.train(kinds))
+    return spark.createDataFrame([(k, float(v)) for k, v in figures.items()], "measure string, value double")
+
+
 def p7_found(spark, d):
     return merkle.page_copies(table(spark, d, "page_audit"))
 
@@ -61,7 +68,7 @@ def p10_shares(spark, d):
     return subjects.corpus_shares(_assigned(spark, d), table(spark, d, "documents"))
 
 
-QUERIES = {"p10_found": p10_found, "p10_shares": p10_shares, "p3_found": p3_found, "p3_clean": p3_clean, "p7_found": p7_found, "p7_classes": p7_classes, "p7_texts": p7_texts, "p8_pack": p8_pack, "p8_report": p8_report, "p9_mix": p9_mix, "p9_shares": p9_shares}
+QUERIES = {"p10_found": p10_found, "p10_shares": p10_shares, "p3_found": p3_found, "p3_clean": p3_clean, "p3_validation": p3_validation, "p7_found": p7_found, "p7_classes": p7_classes, "p7_texts": p7_texts, "p8_pack": p8_pack, "p8_report": p8_report, "p9_mix": p9_mix, "p9_shares": p9_shares}
 
 _HOST = "regexp_extract(url_key, '^[^/?]*')"
 _KEYED = f"SELECT *, {page_key_sql('canonical', _HOST)} AS canonical_key FROM (SELECT *, {page_key_sql('url')} AS url_key FROM page_audit)"

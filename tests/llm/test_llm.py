@@ -191,6 +191,10 @@ def test_budgets_are_exact():
 
 # ---- p3 ----
 
+
+def flagged(df, model):
+    return residue.flagged(df, residue.piece_table(df), model)
+
 AUDIT = "page_id long, url string, status_code int, title string, body_text string, score double, piece string"
 
 
@@ -200,26 +204,26 @@ def audit(spark, rows):
 
 def test_residue_on_data(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/page_audit.parquet")
-    model = residue.train(df, 20_000)
-    v = residue.validate(df, model, 20_000)
+    model = residue.train(residue.piece_table(df), 20_000)
+    v = residue.validate(residue.piece_table(df), model, 20_000)
     assert v["recall"] > 0.9 and v["precision"] > 0.85 and v["accuracy"] > 0.99
     cases = [
         (1, 200, "{{ title }}", None), (2, 200, "The lawn drains badly", "Lorem ipsum dolor sit amet magna aliqua."), (3, 200, "404 Not Found | Site", ""), (4, 200, None, "You need to enable JavaScript to run this app."),
         (5, 200, "Lorem ipsum: a short history of filler", "Printers have long used dummy words to judge a layout."), (6, 200, 'The cost of a "page not found"', 'We looked at 12 sites and kept a note of each "page not found".'),
         (7, 200, "Opening hours", "Monday to Friday nine to five, Saturday ten to two."), (8, 404, "404 Not Found", ""), (9, 200, None, None), (10, None, "404 Not Found", ""), (11, 200, " ", "\n"), (12, 200, "A" * 50_000, "b " * 20_000), (None, 200, "{{ title }}", None),
     ]
-    got = residue.flagged(audit(spark, cases), model).collect()
+    got = flagged(audit(spark, cases), model).collect()
     assert {r.page_id for r in got} == {1, 2, 3, 4}
-    again = residue.train(df, 20_000)
+    again = residue.train(residue.piece_table(df), 20_000)
     assert np.array_equal(model.weights, again.weights)
 
 
 def test_residue_without_rows(spark):
     empty = audit(spark, [(1, 200, "a", "b")]).limit(0)
-    model = residue.train(empty)
-    assert residue.flagged(empty, model).count() == 0
+    model = residue.train(residue.piece_table(empty))
+    assert flagged(empty, model).count() == 0
     one = audit(spark, [(1, 200, "a", "b")])
-    assert residue.flagged(one, residue.train(one)).count() == 0
+    assert flagged(one, residue.train(residue.piece_table(one))).count() == 0
 
 
 # ---- p10 ----
@@ -339,5 +343,5 @@ def test_residue_learns_from_held_out_hosts(spark):
     host = hosts.filter(F.pmod(F.xxhash64("h"), F.lit(residue.HELD_OUT)) == 0).first().h
     cases = [(i, 200, f"Notes on hedge {i}", f"We planted row {i} in spring.") for i in range(40)] + [(100 + i, 404, "404 Not Found", "") for i in range(20)] + [(200 + i, 200, "{{ title }}", "") for i in range(5)]
     df = audit(spark, cases).withColumn("url", F.concat(F.lit(f"http://{host}/"), F.col("page_id")))
-    assert residue.flagged(df, residue.train(df)).count() == 0
-    assert {r.page_id for r in residue.flagged(df, residue.train(df, every_host=True)).collect()} == set(range(200, 205))
+    assert flagged(df, residue.train(residue.piece_table(df))).count() == 0
+    assert {r.page_id for r in residue.residue_pages(df).collect()} == set(range(200, 205))
