@@ -9,13 +9,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 from seamark.functions.page_key import key_host, page_key
-from seamark.plans.skew import hot_split_join
+from seamark.plans.skew import hot_split_join, lookup_join
 from seamark.session import cut
 
 
 def plain_text(c: Column) -> Column:
-    """Leaf normaliser for text: lower case, punctuation and white space dropped. Null stays apart from empty."""
-    return F.lower(F.regexp_replace(c, r"(?U)[\s\p{Punct}]+", ""))
+    """Leaf normaliser for text: lower case, punctuation and runs of white space as one space, outer ones dropped. Null stays apart from empty.
+
+    Words stay apart, and numbers what they are: a sign, point, comma, colon or slash directly before a digit and a per cent sign after one count.
+    """
+    bare = F.regexp_replace(c, r"(?![\-.,:/](?=[0-9]))(?!(?<=[0-9])%)\p{P}", " ")
+    return F.lower(F.regexp_replace(F.regexp_replace(bare, r"(?U)\s+", " "), "^ | $", ""))
 
 
 def normalised(c: Column, dtype: DataType, leaf: Callable[[Column], Column] = plain_text, unordered: bool = False) -> Column:
@@ -101,7 +105,13 @@ def page_classes(pages: DataFrame) -> DataFrame:
 
 
 def text_classes(docs: DataFrame, columns: Sequence[str] = ("text",)) -> DataFrame:
-    """``keep_id, copies`` of documents whose ``columns`` differ in letter case, punctuation and white space only."""
+    """``keep_id, copies`` of documents whose ``columns`` differ in letter case, punctuation and white space only.
+
+    Digests are counted first; only records whose digest occurs more than once are compared in full, so a text without copies is never shuffled.
+    """
     whole = F.struct(*columns)
     dtype = docs.select(whole.alias("w")).schema["w"].dataType
-    return collapse(docs, "doc_id", F.struct(F.sha2(F.to_json(F.struct(normalised(whole, dtype).alias("w"))), 256).alias("whole")), merkle_digest(whole, dtype)).select("keep_id", "copies")
+    rows = docs.select("doc_id", whole.alias("w"), merkle_digest(whole, dtype).alias("root"))
+    seen = cut(rows.groupBy("root").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("copies")))
+    several = lookup_join(rows, cut(seen.filter("copies > 1").select("root")), ["root"], "left_semi")
+    return seen.filter("copies = 1").select("keep_id", "copies").unionByName(collapse(several, "doc_id", normalised(F.col("w"), dtype), F.col("root")).select("keep_id", "copies"))

@@ -74,11 +74,18 @@ _HOST = "regexp_extract(url_key, '^[^/?]*')"
 _KEYED = f"SELECT *, {page_key_sql('canonical', _HOST)} AS canonical_key FROM (SELECT *, {page_key_sql('url')} AS url_key FROM page_audit)"
 _SPACE = r"\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
+# what counts of the punctuation of numbers, as private letters
+_NUMBERS = "text"
+for _i, _c in enumerate("-.,:/"):
+    _NUMBERS = f"regexp_replace({_NUMBERS}, '[{_c}]([0-9])', chr({0xE000 + _i}) || '\\1', 'g')"
+_NUMBERS = f"regexp_replace({_NUMBERS}, '([0-9])%', '\\1' || chr({0xE010}), 'g')"
+
 ORACLES = {
     "p7_found": f"""
         SELECT keep_id, page_id FROM (SELECT page_id, min(page_id) OVER (PARTITION BY crawl_id, url_key, canonical_key) AS keep_id FROM ({_KEYED})) WHERE page_id <> keep_id""",
     "p7_classes": f"""
         SELECT min(page_id) AS keep_id, crawl_id, url_key, canonical_key, count(*) AS copies FROM ({_KEYED}) GROUP BY crawl_id, url_key, canonical_key""",
     "p7_texts": rf"""
-        SELECT min(doc_id) AS keep_id, count(*) AS copies FROM documents GROUP BY lower(regexp_replace(text, '[{_SPACE}\p{{P}}]+', '', 'g'))""",
+        SELECT min(doc_id) AS keep_id, count(*) AS copies FROM documents
+        GROUP BY lower(trim(regexp_replace(regexp_replace({_NUMBERS}, '\p{{P}}', ' ', 'g'), '[{_SPACE}]+', ' ', 'g')))""",
 }

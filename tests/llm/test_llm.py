@@ -84,6 +84,12 @@ def test_colliding_digests_stay_apart(spark):
     assert {(r.keep_id, r.id) for r in got.collect()} == {(1, 3)}
 
 
+def test_numbers_and_words_stay_apart(spark):
+    texts = ["It costs 1.5 now here", "it costs 15 nowhere", "temp -5", "temp 5", "Temp: 5!", "5% off", "5 off", "half-time", "half time", "12:30", "1230"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {(r.keep_id, r.copies) for r in merkle.text_classes(df).collect()} == {(0, 1), (1, 1), (2, 1), (3, 2), (5, 1), (6, 1), (7, 2), (9, 1), (10, 1)}
+
+
 def test_text_classes(spark):
     df = docs(spark, [(1, "A  b, c!", "s"), (2, "a b c", "s"), (3, "a b d", "s"), (4, None, "s"), (5, None, "s"), (6, "", "s"), (7, " .", "s")])
     assert {(r.keep_id, r.copies) for r in merkle.text_classes(df).collect()} == {(1, 2), (3, 1), (4, 2), (6, 2)}
