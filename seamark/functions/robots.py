@@ -123,12 +123,18 @@ def audit(text: str | None) -> list[str]:
     return out
 
 
+#: Most bots that are checked at once.
+MAX_BOTS = 10_000
+
+
 def blocked_bots(rules: DataFrame, bots: DataFrame) -> DataFrame:
     """``host, bot``: bots (``bot``) whose own group, or the ``*`` group if they have none, blocks the root; as joins, for many sites."""
     low = rules.select("host", F.lower("bot").alias("group"), "kind", F.trim("pattern").alias("p"))
     state = low.groupBy("host", "group").agg((F.max(((F.col("kind") == "disallow") & F.col("p").isin("/", "/*")).cast("int")) > F.max(((F.col("kind") == "allow") & (F.col("p") == "/")).cast("int"))).alias("blocked"))
     per_host = state.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("group", "blocked"))).alias("groups"))  # a site's few groups
-    names = F.array(*(F.lit(r["bot"]) for r in bots.select("bot").limit(10_000).collect()))
-    own = per_host.select("host", "groups", F.explode(names).alias("bot"))
+    names = [r["bot"] for r in bots.select("bot").distinct().limit(MAX_BOTS + 1).collect()]
+    if len(names) > MAX_BOTS:
+        raise ValueError(f"more than {MAX_BOTS} bots")
+    own = per_host.select("host", "groups", F.explode(F.array(*map(F.lit, names)).cast("array<string>")).alias("bot"))
     verdict = F.coalesce(F.try_element_at("groups", F.lower("bot")), F.try_element_at("groups", F.lit("*")), F.lit(False))
     return own.filter(verdict).select("host", "bot")

@@ -66,6 +66,26 @@ def speed_warnings(measures: dict[str, Column]) -> Column:
     return F.array_compact(F.array(*(F.when(measures[n] > limit, label) for n, limit, _, label in SPEED if n in measures)))
 
 
+#: What an issue says of a measure past its limit, before and after the figure.
+SPEED_ISSUES = {
+    "load_time_s": ("Slow load (", "s — over the 3.0s target)"),
+    "ttfb_ms": ("High TTFB (", "ms — Google wants under 800ms for a good LCP)"),
+    "html_kb": ("Heavy HTML (", " KB document weight — over the ~150 KB guideline)"),
+    "dom_nodes": ("Large DOM (", " nodes — Lighthouse flags over 1500)"),
+    "imgs_no_dims": ("", " images missing width/height (layout shift risk)"),
+    "base64_images": ("", " base64-inlined images (document bloat)"),
+    "third_party_scripts": ("", " third-party scripts (each is a speed + privacy risk)"),
+    "render_blocking_scripts": ("", " render-blocking scripts (add async/defer)"),
+    "render_blocking_css": ("", " render-blocking stylesheets in head"),
+}
+
+
+def speed_issues(measures: dict[str, Column]) -> Column:
+    """Issue texts of the limits passed, with their figures, in fixed order."""
+    say = lambda n: F.concat(F.lit(SPEED_ISSUES[n][0]), measures[n].cast("string"), F.lit(SPEED_ISSUES[n][1]))
+    return F.array_compact(F.array(*(F.when(measures[n] > limit, say(n)) for n, limit, _, _ in SPEED if n in measures)))
+
+
 def vital_rating(name: str, value: Column) -> Column:
     good, poor = VITALS[name]
     return F.when(value.isNull(), None).when(value <= good, "good").when(value <= poor, "warn").otherwise("poor")

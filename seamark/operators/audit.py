@@ -36,7 +36,14 @@ def page_issues(pages: DataFrame, ignore_noindex: bool = False) -> DataFrame:
     kind = _col(pages, "canonical_kind", F.lit(""))
     redirect = _col(pages, "redirect_url", F.lit(""))
     rules: list[Column] = []
-    gate = (_col(pages, "indexable", F.lit(True)) | F.lit(ignore_noindex)) & ~urls.is_pagination(asked) & (redirect == "") & (kind != "canonicalised") & status.between(200, 299)
+    # what the fetch itself says comes first
+    if "challenge" in have:
+        rules.append(F.when(F.col("challenge"), 'Bot challenge (Cloudflare) blocked this page — enable "Solve bot challenges" to crawl this site'))
+    if "non_html" in have:
+        rules.append(F.when((status < 400) & F.col("non_html").isNotNull(), F.concat(F.lit("Non-HTML ("), F.col("non_html"), F.lit(")"))))
+    lists: list[Column] = []
+    page = F.col("non_html").isNull() if "non_html" in have else F.lit(True)
+    gate = (_col(pages, "indexable", F.lit(True)) | F.lit(ignore_noindex)) & ~urls.is_pagination(asked) & (redirect == "") & (kind != "canonicalised") & status.between(200, 299) & page
     content = lambda c: rules.append(F.when(gate, c))
     if "redirect_hops" in have:
         rules.append(urls.redirect_label(urls.redirect_kind(asked, F.when(redirect != "", redirect)), F.greatest(F.lit(1), F.coalesce(F.col("redirect_hops"), F.lit(1)))))
@@ -70,7 +77,7 @@ def page_issues(pages: DataFrame, ignore_noindex: bool = False) -> DataFrame:
     if "analytics" in have:
         platform = F.col("js_platform") if "js_platform" in have else no
         content(F.when(F.size("analytics") == 0, F.coalesce(F.concat(F.lit("Analytics unknown — "), platform, F.lit(" site needs Render JS")), F.lit("No analytics detected"))))
-    fine = status.between(200, 399)  # rows that were answered with an error end here
+    fine = status.between(200, 399) & page  # rows that were answered with an error, or with no page, end here
     rules.append(F.when(fine & (kind == "canonicalised"), "Canonicalised (points elsewhere)"))
     if "response_time" in have:
         rules.append(F.when(fine & (F.col("response_time") > SLOW), F.concat(F.lit("Slow ("), F.col("response_time").cast("string"), F.lit("s)"))))
@@ -82,10 +89,13 @@ def page_issues(pages: DataFrame, ignore_noindex: bool = False) -> DataFrame:
     if "js_diff" in have:
         level = F.col("js_diff.severity")
         rules.append(F.when(level.isin("critical", "high"), F.concat(F.lit("JS-only content ("), level, F.lit(": "), F.array_join("js_diff.fields", ", "), F.lit(")"))))
+    if "malformed_hrefs" in have:
+        shown = lambda h: F.when(F.length(h) <= 80, h).otherwise(F.concat(F.left(h, F.lit(77)), F.lit("…")))
+        lists.append(F.array_distinct(F.transform("malformed_hrefs", lambda h: F.concat(F.lit('Malformed link href (text, not a URL): "'), shown(h), F.lit('"')))))
     if "error" in have:
         rules.append(F.when(status == 0, error_issue(F.col("error"))))
-    hygiene = F.when(fine, F.transform(urls.hygiene_flags(asked), lambda x: F.concat(F.lit("URL: "), x))).otherwise(F.array().cast("array<string>"))
-    return pages.withColumn("issues", F.concat(F.array_compact(F.array(*rules)), hygiene))
+    lists.append(F.when(fine, F.transform(urls.hygiene_flags(asked), lambda x: F.concat(F.lit("URL: "), x))))
+    return pages.withColumn("issues", F.concat(F.array_compact(F.array(*rules)), *(F.coalesce(x, F.array().cast("array<string>")) for x in lists)))
 
 
 def error_issue(error: Column) -> Column:

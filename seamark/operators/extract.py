@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seamark.functions import detect, html_page, text, urls
+from seamark.functions import detect, html_page, scoring, text, urls
 from seamark.operators.audit import page_issues
 from seamark.session import spread
 
@@ -53,7 +53,12 @@ def audit_rows(fetched: DataFrame, compare_raw: bool = False) -> DataFrame:
         "security": security_flags(F.col("headers"), final), "indexable": ~noindex, "is_pagination": urls.is_pagination(asked), "url_issues": urls.hygiene_flags(asked), "canonical_kind": F.when(is_page, canonical_kind(F.col("p.canonical"), asked, final)),
         "body_hash": text.body_hash(F.col("p.body_text")), "analytics": detect.trackers(html), "cms": detect.content_system(html, F.col("headers")), "js_platform": F.when(F.col("raw_html").isNull(), detect.script_platform(html)),
         "waf_block": detect.firewall(F.col("status_code"), F.col("html")),
+        "challenge": detect.is_challenge(F.col("status_code"), F.try_element_at("headers", F.lit("server")), F.try_element_at("headers", F.lit("cf-mitigated")), F.col("html")),
+        "non_html": F.when((kind != "") & ~kind.contains("text/html") & ~kind.contains("application/xhtml"), F.trim(F.substring_index(kind, ";", 1))),
     }
+    measures = {n: F.col(f"p.perf.{n}") for n in ("html_kb", "dom_nodes", "imgs_no_dims", "base64_images", "third_party_scripts", "render_blocking_scripts", "render_blocking_css")}
+    measures |= {n: F.col(n) for n in ("load_time_s", "ttfb_ms") if n in fetched.columns}
+    cols["speed_warnings"] = F.when(is_page, scoring.speed_issues(measures))
     keep = [c for c in fetched.columns if c not in ("html", "raw_html", "history", "headers", "final_url", "url", *cols)]
     body = [F.col(f"p.{n}").alias(n) for n in parsed.schema["p"].dataType.names if n not in ("robots",)]
     rows = parsed

@@ -32,9 +32,14 @@ def target_figures(pages: DataFrame, fan_in: int = 16) -> DataFrame:
         maxs={"last_day": F.col("crawl_day")},
         fan_in=fan_in,
     )
-    keyed = raw.withColumn("target_key", page_key(F.col("target")))
-    return keyed.groupBy("target_key").agg(
-        F.sum("entries").alias("entries"), F.sum("main_entries").alias("main_entries"), F.min("first_day").alias("first_day"), F.max("last_day").alias("last_day")
+    # a hot page has many spellings, whose states come from all chunks again: they are merged by a tree too
+    return tree_aggregate(
+        raw.select(page_key(F.col("target")).alias("target_key"), "entries", "main_entries", "first_day", "last_day"),
+        ["target_key"],
+        sums={"entries": F.col("entries"), "main_entries": F.col("main_entries")},
+        mins={"first_day": F.col("first_day")},
+        maxs={"last_day": F.col("last_day")},
+        fan_in=fan_in,
     )
 
 

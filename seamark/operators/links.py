@@ -11,7 +11,10 @@ from seamark.functions import urls
 from seamark.session import cut
 
 #: Fixed value: anchor texts that say nothing about their target.
-GENERIC = "click here|read more|learn more|more|here|this|link|continue|continue reading|details|view|view more|see more|find out more|go|website|page".split("|")
+GENERIC = (
+    "click here|read more|learn more|more|here|this|this page|find out more|find out|more info|more information|details|view|view more|see more|see details|link|website|this link|click|tap here|tap|open|go|go here|continue|"
+    "continue reading|full story"
+).split("|")
 
 
 def edges(pages: DataFrame) -> DataFrame:

@@ -61,7 +61,8 @@ def broken_with_inlinks(spark, d):
 _ANCHOR = "trim(coalesce(anchor, ''))"
 _CLOUD = f"""SELECT a AS anchor, count(*) AS links, count(DISTINCT target) AS targets FROM (SELECT lower(CASE WHEN length({_ANCHOR}) > 60 THEN left({_ANCHOR}, 60) || '…' ELSE {_ANCHOR} END) AS a, target
     FROM ({_EDGES}) WHERE {_ANCHOR} <> '') GROUP BY a ORDER BY links DESC, anchor LIMIT 80"""
-_GENERIC = ", ".join(sql.q(w) for w in links.GENERIC)
+_GENERIC = """'click here', 'read more', 'learn more', 'more', 'here', 'this', 'this page', 'find out more', 'find out', 'more info', 'more information', 'details', 'view', 'view more', 'see more', 'see details',
+    'link', 'website', 'this link', 'click', 'tap here', 'tap', 'open', 'go', 'go here', 'continue', 'continue reading', 'full story'"""
 
 
 @query(

@@ -16,6 +16,7 @@ DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -30,12 +31,14 @@ def build_session(app: str = "seamark", master: str | None = None, **extra: str)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is configured."""
+    """The cluster's shared checkpoint folder, which ``spark.checkpoint.dir`` names. Where it is unset, a temporary folder in local mode, as in tests; an error on a cluster, where such a folder would be lost with its machine."""
     sc = spark.sparkContext
     have = sc.getCheckpointDir()
     if have:
         return have
     named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local") or not named and sc.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir names no shared folder for intermediate tables")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="seamark-checkpoint-"))
     return sc.getCheckpointDir()
 

@@ -353,3 +353,27 @@ def test_audit_pipeline_has_every_row(spark, data):
         assert (f"HTTP {t.status_code} error" in r.issues) == ((t.status_code or 0) >= 400)
     moved = [i for i, t in table.items() if 300 <= (t.status_code or 0) < 400 and t.redirect_url]
     assert moved and all(got[i].redirect_url == table[i].redirect_url for i in moved)
+
+
+def test_issue_rules_of_fetched_pages(spark):
+    from seamark.operators import extract
+
+    html = '<html><head><title>T</title></head><body><a href="12 Main Street, Springfield">x</a><a href="12 Main Street, Springfield">y</a>' + "".join(f'<img src="/{i}.jpg">' for i in range(7)) + "</body></html>"
+    rows = [
+        ("http://a.test/", 200, {"Content-Type": "text/html"}, html),
+        ("http://a.test/f", 200, {"Content-Type": "Application/PDF; x=1"}, None),
+        ("http://a.test/c", 403, {"CF-Mitigated": "challenge", "Content-Type": "text/html"}, "<title>Just a moment...</title>"),
+        ("http://a.test/e", 404, None, None),
+    ]
+    fetched = spark.createDataFrame([(u, s, h, b) for u, s, h, b in rows], "url string, status_code int, headers map<string,string>, html string")
+    for name, kind in (c.strip().split(" ", 1) for c in extract.FETCHED.split(", ") if " " in c.strip()):
+        if name not in fetched.columns:
+            fetched = fetched.withColumn(name, F.lit(None).cast(kind))
+    rows = {r.url: r for r in extract.audit_rows(fetched).collect()}
+    assert rows["http://a.test/"].speed_warnings == ["7 images missing width/height (layout shift risk)"]
+    got = {u: list(r.issues) for u, r in rows.items()}
+    assert got["http://a.test/"].count('Malformed link href (text, not a URL): "12 Main Street, Springfield"') == 1
+    assert "7 imgs missing alt" in got["http://a.test/"]
+    assert got["http://a.test/f"] == ["Non-HTML (application/pdf)"]
+    assert got["http://a.test/c"][0].startswith("Bot challenge") and "HTTP 403 error" in got["http://a.test/c"]
+    assert got["http://a.test/e"] == ["HTTP 404 error"]
