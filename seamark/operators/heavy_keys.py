@@ -24,7 +24,7 @@ def target_figures(pages: DataFrame, fan_in: int = 16) -> DataFrame:
     combined as written before keys are computed, so each spelling is parsed once per chunk.
     """
     links = pages.select("crawl_day", F.explode("internal_link_urls").alias("e")).filter(F.col("e").isNotNull())
-    raw = tree_aggregate(
+    spellings = tree_aggregate(
         links.select("crawl_day", F.col("e.target").alias("target"), F.col("e.placement").alias("placement")),
         ["target"],
         sums={"entries": F.lit(1).cast("long"), "main_entries": (F.coalesce(F.col("placement"), F.lit("")) == "main").cast("long")},
@@ -34,7 +34,7 @@ def target_figures(pages: DataFrame, fan_in: int = 16) -> DataFrame:
     )
     # a hot page has many spellings, whose states come from all chunks again: they are merged by a tree too
     return tree_aggregate(
-        raw.select(page_key(F.col("target")).alias("target_key"), "entries", "main_entries", "first_day", "last_day"),
+        cut(spellings).select(page_key(F.col("target")).alias("target_key"), "entries", "main_entries", "first_day", "last_day"),
         ["target_key"],
         sums={"entries": F.col("entries"), "main_entries": F.col("main_entries")},
         mins={"first_day": F.col("first_day")},
