@@ -173,9 +173,9 @@ def same_information(old: str, a: dict, new: str, b: dict, alike: Alike | None =
         return True
     wa, wb = _words(old), _words(new)
     if wa & wb and (wa <= wb or wb <= wa):
-        # a null says nothing of its kind: what all files hold under the names may speak against it
+        # nulls, objects and lists have no kind: what all files hold under the names may speak against it
         apart = alike is not None and (old, old) in alike and (new, new) in alike and (old, new) not in alike
-        if not apart if "null" in (a["t"], b["t"]) else ka == kb:
+        if not apart if "null" in (a["t"], b["t"]) or ka is None else ka == kb:
             return True
     shared = alike.get((old, new)) if alike else None
     if not shared:
