@@ -366,7 +366,7 @@ def page_signatures(spark, d):
 
 
 def _shingles(spark, d):
-    return cut(duplicates.shingle_sets(table(spark, d, "documents"), "doc_id", "text"))
+    return duplicates.shingle_sets(table(spark, d, "documents"), "doc_id", "text")
 
 
 _CONTENT = f"list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z][a-z''\\-]{{1,}}'), lambda t: t NOT IN ({', '.join(sql.q(w) for w in text.STOP_WORDS)}))"

@@ -5,11 +5,13 @@ import gzip
 import json
 import os
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from seamark.operators import audit, compare, duplicates, keywords, links, reports, sitemap
+from seamark.session import checkpoint_dir
 from seamark.sources import readers, sinks
 from seamark.streaming import crawl
 
@@ -141,6 +143,35 @@ def test_near_duplicates_against_all_pairs(spark):
     assert sum(r.links for r in {r.class_id: r for r in m.values()}.values()) == 2 * len(want)
 
 
+def _bytes_held(spark):
+    """Bytes of shuffle files and intermediate tables."""
+    env = spark._jvm.org.apache.spark.SparkEnv.get()
+    shuffles = sum(f.length() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(env.blockManager().diskBlockManager().getAllFiles()))
+    return shuffles + sum(p.stat().st_size for p in Path(checkpoint_dir(spark).removeprefix("file:")).rglob("*") if p.is_file())
+
+
+def test_near_duplicates_of_long_texts_in_little_room(spark, tmp_path):
+    rng = random.Random(5)
+    words = [f"{a}{b}{c}" for a in ("ka", "lo", "mi", "ne", "pu", "ra", "so") for b in ("bak", "del", "fin", "gor", "hup") for c in ("an", "en", "un")]
+    base = [[rng.choice(words) for _ in range(n)] for n in (60, 300, 900)]
+    docs = []
+    for i in range(900):  # cut at either end to about the least similarity, and changed here and there
+        t = list(base[i % 3]) if i % 5 == 0 else [rng.choice(words) for _ in range(rng.randint(40, 700))]
+        t = t[rng.randint(0, len(t) // 8) : len(t) - rng.randint(0, len(t) // 8)]
+        for _ in range(rng.randint(0, 3)):
+            t[rng.randrange(len(t))] = rng.choice(words)
+        docs.append((i, " ".join(t)))
+    spark.createDataFrame(docs, "id long, text string").write.parquet(str(tmp_path / "docs"))
+    before = _bytes_held(spark)
+    sets = duplicates.shingle_sets(spark.read.parquet(str(tmp_path / "docs")), "id", "text")
+    pairs = duplicates.similar_pairs(sets)
+    held = _bytes_held(spark) - before
+    reps = {r.class_id: set(r.shingles) for r in duplicates.classes(sets).collect()}
+    want = {(a, b): len(reps[a] & reps[b]) / len(reps[a] | reps[b]) for a in reps for b in reps if a < b and len(reps[a] & reps[b]) / len(reps[a] | reps[b]) >= 0.8}
+    assert {(r.class_a, r.class_b): r.similarity for r in pairs.collect()} == pytest.approx(want, abs=1e-4) and len(want) > 500
+    assert held < 4 * sum(p.stat().st_size for p in (tmp_path / "docs").iterdir())
+
+
 def test_document_classes_have_every_document(spark):
     short = "red fox jumps over seven lazy dogs today"
     docs = [(1, short), (2, short.upper()), (3, short + " unheard"), (4, "tiny text"), (5, " Tiny  TEXT "), (6, None), (7, ""), (8, "Привет мир"), (9, "привет мир"), (10, "Другой текст")]
