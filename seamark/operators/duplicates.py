@@ -186,12 +186,17 @@ def similar_pairs(sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         return reduce(DataFrame.unionByName, [cut_table(_verified(part, whole, similarity)) for part in some])
 
 
+def _keyed(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``membership`` of rows ``id, k1, k2``, which are read twice."""
+    named = sets.groupBy("k1", "k2").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
+    ends = pairs.select(F.explode(F.array("class_a", "class_b")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("links"))
+    linked = named.join(ends, "class_id", "left").select("k1", "k2", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
+    return sets.join(linked, ["k1", "k2"]).select("id", "class_id", "copies", "links")
+
+
 def membership(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """``id, class_id, copies, links``: each text's class, its size, and how many other classes are similar to it."""
-    reps = classes(sets)
-    ends = pairs.select(F.explode(F.array("class_a", "class_b")).alias("class_id")).groupBy("class_id").agg(F.count(F.lit(1)).alias("links"))
-    named = reps.join(ends, "class_id", "left").select("class_id", "copies", "shingles", F.coalesce("links", F.lit(0)).alias("links"))
-    return sets.filter(F.size("shingles") > 0).join(named, "shingles").select("id", "class_id", "copies", "links")
+    return _keyed(cut_table(sets.filter(F.size("shingles") > 0).select("id", *_keys())), pairs)
 
 
 def document_classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -201,12 +206,13 @@ def document_classes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     white space, and have no links; null is an empty text.
     """
     whole = F.sha2(text.squeeze(F.lower(F.coalesce(F.col(text_col), F.lit("")))), 256)
-    sets = cut(shingle_sets(docs.select(id_col, text_col, whole.alias("whole")), id_col, text_col, least_words=0, keep=("whole",)))
-    shingled = sets.select("id", "shingles")
-    bare = sets.filter(F.size("shingles") == 0).select("id", "whole")
+    sets = shingle_sets(docs.select(id_col, text_col, whole.alias("whole")), id_col, text_col, least_words=0, keep=("whole",))
+    pairs = similar_pairs(sets.select("id", "shingles"))
+    keyed = cut_table(sets.select("id", *_keys(), F.when(F.size("shingles") == 0, F.col("whole")).alias("whole")))
+    bare = keyed.filter("whole IS NOT NULL").select("id", "whole")
     alike = cut(bare.groupBy("whole").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("copies")))
     rest = lookup_join(bare, alike, ["whole"]).select("id", "class_id", "copies", F.lit(0).cast("long").alias("links"))
-    return membership(shingled, cut(similar_pairs(shingled))).unionByName(rest)
+    return _keyed(keyed.filter("whole IS NULL").select("id", "k1", "k2"), pairs).unionByName(rest)
 
 
 def shared_phrase(a: Column, b: Column) -> Column:
